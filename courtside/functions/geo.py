@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The sphere radius of the distance function and the ten-mile search radius, in metres.
@@ -52,19 +52,21 @@ class Grid:
         half_lon = F.lit(math.pi) / self.cells_in_row(row) * F.cos(F.radians(self.low_abs_lat(row)))
         return EARTH_RADIUS_M * F.sqrt(F.lit(half_lat**2) + half_lon * half_lon)
 
-    def probe(self, lat: Column, lon: Column, reach_m: Column | float) -> Column:
-        """Cells that a circle can touch: array<struct<row, col>>."""
-        d = (F.lit(reach_m) if isinstance(reach_m, (int, float)) else reach_m) / EARTH_RADIUS_M
-        lo = F.floor((lat - F.degrees(d)) / self.step).cast("int")
-        hi = F.floor((lat + F.degrees(d)) / self.step).cast("int")
-        polar = F.cos(F.radians(lat)) <= F.sin(d)
-        width = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(d) / F.cos(F.radians(lat)))))
-
-        def cells(row: Column) -> Column:
-            n = self.cells_in_row(row)
-            first = F.floor((lon - width + 180.0) * n / 360.0)
-            last = F.least(F.floor((lon + width + 180.0) * n / 360.0), first + n - 1)
-            span = F.when(polar, F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"))).otherwise(F.sequence(first, last))
-            return F.transform(span, lambda c: F.struct(row.alias("row"), F.pmod(c, n).cast("int").alias("col")))
-
-        return F.flatten(F.transform(F.sequence(lo, hi), cells))
+    def explode_around(self, df: DataFrame, lat: str, lon: str, reach_m: Column | float) -> DataFrame:
+        """One row per cell that the circle of ``reach_m`` around (lat, lon) can touch, as ``_row``/``_col``."""
+        d = F.lit(reach_m / EARTH_RADIUS_M) if isinstance(reach_m, (int, float)) else reach_m / EARTH_RADIUS_M
+        df = df.withColumn("_d", d)
+        ratio = F.sin("_d") / F.cos(F.radians(lat))
+        df = df.select(
+            "*",
+            F.when(ratio < 1, F.degrees(F.asin(F.least(F.lit(1.0), ratio)))).otherwise(F.lit(360.0)).alias("_width"),
+            F.explode(
+                F.sequence(F.floor((F.col(lat) - F.degrees("_d")) / self.step).cast("int"), F.floor((F.col(lat) + F.degrees("_d")) / self.step).cast("int"))
+            ).alias("_row"),
+        )
+        df = df.withColumn("_n", self.cells_in_row(F.col("_row")))
+        first = F.floor((F.col(lon) - F.col("_width") + 180.0) * F.col("_n") / 360.0)
+        last = F.floor((F.col(lon) + F.col("_width") + 180.0) * F.col("_n") / 360.0)
+        df = df.withColumn("_first", first).withColumn("_last", F.least(last, F.col("_first") + F.col("_n") - 1))
+        df = df.withColumn("_c", F.explode(F.sequence("_first", "_last"))).withColumn("_col", F.pmod("_c", "_n").cast("int"))
+        return df.drop("_d", "_width", "_n", "_first", "_last", "_c")

@@ -18,10 +18,6 @@ def _located(df: DataFrame) -> DataFrame:
     return df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
 
 
-def _distance(a: str, b: str) -> Column:
-    return haversine_m(F.col(f"{a}.latitude"), F.col(f"{a}.longitude"), F.col(f"{b}.latitude"), F.col(f"{b}.longitude"))
-
-
 def within_radius(items: DataFrame, centers: DataFrame, radius_m: float = SEARCH_RADIUS_M, distance: str | None = None) -> DataFrame:
     """Every (centre, item) pair within ``radius_m``: equi join on grid cells, then the exact distance.
 
@@ -32,13 +28,8 @@ def within_radius(items: DataFrame, centers: DataFrame, radius_m: float = SEARCH
     grid = Grid(radius_m)
     spots = _located(items)
     spots = spots.withColumn("_row", grid.row("latitude")).withColumn("_col", grid.column("longitude", F.col("_row")))
-    own = [c for c in centers.columns if c not in ("latitude", "longitude")]
-    probes = _located(centers).select(
-        *own,
-        F.col("latitude").alias("center_latitude"),
-        F.col("longitude").alias("center_longitude"),
-        F.explode(grid.probe(F.col("latitude"), F.col("longitude"), radius_m + SLACK_M)).alias("_cell"),
-    ).select("*", F.col("_cell.row").alias("_row"), F.col("_cell.col").alias("_col")).drop("_cell")
+    probes = _located(centers).withColumnsRenamed({"latitude": "center_latitude", "longitude": "center_longitude"})
+    probes = grid.explode_around(probes, "center_latitude", "center_longitude", radius_m + SLACK_M)
     gap = haversine_m(F.col("latitude"), F.col("longitude"), F.col("center_latitude"), F.col("center_longitude"))
     pairs = salted_join(probes, spots, ["_row", "_col"], ["center_latitude", "center_longitude"], salts=4)
     pairs = pairs.withColumn("_d", gap).filter(F.col("_d") <= radius_m)
@@ -85,22 +76,19 @@ def radius_page(
     # cell pairs: at most a few hundred item cells around one request cell, whatever the data
     vcells = places.select("_vrow", "_vcol").distinct()
     vlat, vlon = grid.center(F.col("_vrow"), F.col("_vcol"))
+    vcells = vcells.select("*", vlat.alias("_vlat"), vlon.alias("_vlon"), grid.reach(F.col("_vrow")).alias("_vreach"))
+    pairs = grid.explode_around(vcells, "_vlat", "_vlon", F.col("_vreach") + radius_m + SLACK_M)
     ilat, ilon = grid.center(F.col("_row"), F.col("_col"))
-    vcells = vcells.withColumn("_vlat", vlat).withColumn("_vlon", vlon).withColumn("_vreach", grid.reach(F.col("_vrow")))
-    around = grid.probe(F.col("_vlat"), F.col("_vlon"), F.col("_vreach") + radius_m + SLACK_M)
-    pairs = vcells.withColumn("_c", F.explode(around)).select("*", F.col("_c.row").alias("_row"), F.col("_c.col").alias("_col")).drop("_c")
-    used = cell_top.filter(F.col("_cell_rank") == 1).select("_row", "_col")
-    pairs = pairs.join(used, ["_row", "_col"], "left_semi")
-    pairs = pairs.withColumn("_mid", haversine_m(F.col("_vlat"), F.col("_vlon"), ilat, ilon))
+    mid = haversine_m(F.col("_vlat"), F.col("_vlon"), ilat, ilon)
     slop = F.col("_vreach") + grid.reach(F.col("_row")) + SLACK_M
-    pairs = pairs.withColumn("_sure", F.col("_mid") + slop <= radius_m).filter(F.col("_mid") - slop <= radius_m)
-    pairs = pairs.select("_vrow", "_vcol", "_row", "_col", "_sure")
+    pairs = pairs.select("_vrow", "_vcol", "_row", "_col", mid.alias("_mid"), slop.alias("_slop")).filter(F.col("_mid") - F.col("_slop") <= radius_m)
+    sure = F.col("_mid") + F.col("_slop") <= radius_m
 
-    inside = pairs.filter("_sure").join(cell_top.select("_row", "_col", item_key, "_key"), ["_row", "_col"])
+    inside = pairs.filter(sure).join(cell_top.select("_row", "_col", item_key, "_key"), ["_row", "_col"])
     inside = ranked(inside, ["_vrow", "_vcol"], [F.col("_key")], top, "_n").select("_vrow", "_vcol", item_key, "_key", "_n")
     bar = inside.filter(F.col("_n") == top).select("_vrow", "_vcol", F.col("_key").alias("_bar"))
 
-    edge_cells = pairs.filter(~F.col("_sure")).join(bar, ["_vrow", "_vcol"], "left")
+    edge_cells = pairs.filter(~sure).join(bar, ["_vrow", "_vcol"], "left")
     edge = edge_cells.join(spots.select("_row", "_col", "latitude", "longitude", item_key, "_key"), ["_row", "_col"])
     edge = edge.filter(F.col("_bar").isNull() | (F.col("_key") < F.col("_bar")))
     edge = edge.select("_vrow", "_vcol", item_key, "_key", F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))

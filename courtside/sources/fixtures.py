@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -177,6 +178,7 @@ VIEWS: dict[str, str] = {
         JOIN follows f ON f.followed_user_id = p.user_id WHERE f.notification_status = 'all'""",
 }
 
+_SCHEMAS: dict[str, StructType] = {}
 _WORD = re.compile(r"[a-z_]+")
 
 
@@ -216,11 +218,17 @@ class Marketplace:
             raise AttributeError(name)
         if name not in self._seen:
             if name in BASE_TABLES:
-                self._seen[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+                self._seen[name] = self._scan(f"{self.path}/{name}.parquet")
             else:
                 self._seen[name] = self.derive(VIEWS[name])
         return self._seen[name]
 
+    def _scan(self, file: str) -> DataFrame:
+        # one footer read per file and process, not one per query
+        if file not in _SCHEMAS:
+            _SCHEMAS[file] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(_SCHEMAS[file]).parquet(file)
+
     def derive(self, sql: str) -> DataFrame:
         """Run a SELECT whose FROM/JOIN names are marketplace or test tables."""
         sources: dict[str, DataFrame] = {}
