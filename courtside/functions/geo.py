@@ -1,10 +1,10 @@
-"""Great-circle distance and grid cells as column expressions."""
+"""Great-circle distance and grid cells as SQL expressions (one parsed expression each keeps plans quick to build)."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The sphere radius of the distance function and the ten-mile search radius, in metres.
@@ -12,10 +12,10 @@ EARTH_RADIUS_M = 6370986.0
 SEARCH_RADIUS_M = 16093.4
 
 
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    lat1, lon1, lat2, lon2 = (F.radians(c) for c in (lat1, lon1, lat2, lon2))
-    a = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL text of the distance in metres between two points given in degrees."""
+    half = f"pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians(({lon2}) - ({lon1})) / 2), 2)"
+    return f"2 * {EARTH_RADIUS_M}D * asin(least(1D, sqrt({half})))"
 
 
 class Grid:
@@ -28,45 +28,39 @@ class Grid:
     def __init__(self, size_m: float):
         self.step = math.degrees(size_m / EARTH_RADIUS_M)
 
-    def row(self, lat) -> Column:
-        return F.floor(F.col(lat) / self.step).cast("int")
+    def row(self, lat: str) -> str:
+        return f"CAST(floor(({lat}) / {self.step}D) AS INT)"
 
-    def low_abs_lat(self, row: Column) -> Column:
+    def low_abs_lat(self, row: str) -> str:
         """Smallest |latitude| in a row, where its cells are widest in metres."""
-        return F.when(row >= 0, row * self.step).otherwise(-(row + 1) * self.step)
+        return f"(CASE WHEN {row} >= 0 THEN {row} ELSE -({row} + 1) END * {self.step}D)"
 
-    def cells_in_row(self, row: Column) -> Column:
-        high = F.least(F.lit(90.0), self.low_abs_lat(row) + self.step)
-        return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(high)) / self.step).cast("int"))
+    def cells_in_row(self, row: str) -> str:
+        high = f"least(90D, {self.low_abs_lat(row)} + {self.step}D)"
+        return f"greatest(1, CAST(floor(360D * cos(radians({high})) / {self.step}D) AS INT))"
 
-    def column(self, lon, row: Column) -> Column:
-        n = self.cells_in_row(row)
-        return F.pmod(F.floor((F.col(lon) + 180.0) * n / 360.0), n).cast("int")
+    def center_lat(self, row: str) -> str:
+        return f"(({row} + 0.5D) * {self.step}D)"
 
-    def center(self, row: Column, col: Column) -> tuple[Column, Column]:
-        return (row + 0.5) * self.step, (col + 0.5) * 360.0 / self.cells_in_row(row) - 180.0
+    def center_lon(self, row: str, col: str) -> str:
+        return f"(({col} + 0.5D) * 360D / {self.cells_in_row(row)} - 180D)"
 
-    def reach(self, row: Column) -> Column:
+    def reach(self, row: str) -> str:
         """Upper bound in metres of the distance from a cell's centre to any of its points."""
-        half_lat = math.radians(self.step / 2)
-        half_lon = F.lit(math.pi) / self.cells_in_row(row) * F.cos(F.radians(self.low_abs_lat(row)))
-        return EARTH_RADIUS_M * F.sqrt(F.lit(half_lat**2) + half_lon * half_lon)
-
-    def explode_around(self, df: DataFrame, lat: str, lon: str, reach_m: Column | float) -> DataFrame:
-        """One row per cell that the circle of ``reach_m`` around (lat, lon) can touch, as ``_row``/``_col``."""
-        d = F.lit(reach_m / EARTH_RADIUS_M) if isinstance(reach_m, (int, float)) else reach_m / EARTH_RADIUS_M
-        df = df.withColumn("_d", d)
-        ratio = F.sin("_d") / F.cos(F.radians(lat))
-        df = df.select(
-            "*",
-            F.when(ratio < 1, F.degrees(F.asin(F.least(F.lit(1.0), ratio)))).otherwise(F.lit(360.0)).alias("_width"),
-            F.explode(
-                F.sequence(F.floor((F.col(lat) - F.degrees("_d")) / self.step).cast("int"), F.floor((F.col(lat) + F.degrees("_d")) / self.step).cast("int"))
-            ).alias("_row"),
-        )
-        df = df.withColumn("_n", self.cells_in_row(F.col("_row")))
-        first = F.floor((F.col(lon) - F.col("_width") + 180.0) * F.col("_n") / 360.0)
-        last = F.floor((F.col(lon) + F.col("_width") + 180.0) * F.col("_n") / 360.0)
-        df = df.withColumn("_first", first).withColumn("_last", F.least(last, F.col("_first") + F.col("_n") - 1))
-        df = df.withColumn("_c", F.explode(F.sequence("_first", "_last"))).withColumn("_col", F.pmod("_c", "_n").cast("int"))
-        return df.drop("_d", "_width", "_n", "_first", "_last", "_c")
+        half_lon = f"pi() / {self.cells_in_row(row)} * cos(radians({self.low_abs_lat(row)}))"
+        return f"{EARTH_RADIUS_M}D * sqrt({math.radians(self.step / 2) ** 2}D + pow({half_lon}, 2))"
+
+    def place(self, df: DataFrame, row: str = "_row", col: str = "_col", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+        """Add the cell of each point."""
+        df = df.withColumn(row, F.expr(self.row(lat)))
+        return df.withColumn(col, F.expr(f"CAST(pmod(floor(({lon} + 180D) * {self.cells_in_row(row)} / 360D), {self.cells_in_row(row)}) AS INT)"))
+
+    def explode_around(self, df: DataFrame, lat: str, lon: str, reach_m: str) -> DataFrame:
+        """One row per cell that the circle of ``reach_m`` (SQL) around (lat, lon) can touch, as ``_row``/``_col``."""
+        own = df.columns
+        df = df.selectExpr("*", f"({reach_m}) / {EARTH_RADIUS_M}D AS _d")
+        df = df.selectExpr("*", f"sin(_d) / cos(radians({lat})) AS _ratio", f"explode(sequence({self.row(f'{lat} - degrees(_d)')}, {self.row(f'{lat} + degrees(_d)')})) AS _row")
+        df = df.selectExpr(*own, "_row", "CASE WHEN _ratio < 1 THEN degrees(asin(_ratio)) ELSE 360D END AS _width", f"{self.cells_in_row('_row')} AS _n")
+        first, last = (f"floor(({lon} {sign} _width + 180D) * _n / 360D)" for sign in "-+")
+        df = df.selectExpr(*own, "_row", "_n", f"explode(sequence({first}, least({last}, {first} + _n - 1))) AS _c")
+        return df.selectExpr(*own, "_row", "CAST(pmod(_c, _n) AS INT) AS _col")

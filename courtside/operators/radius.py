@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from courtside.functions.common import ranked, salted_join
 from courtside.functions.geo import SEARCH_RADIUS_M, Grid, haversine_m
 
 SLACK_M = 0.01  # rounding guard of the cell tests; the final distance test is exact
+SPOT = ["latitude", "longitude"]
 
 
 def _located(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return df.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
 def within_radius(items: DataFrame, centers: DataFrame, radius_m: float = SEARCH_RADIUS_M, distance: str | None = None) -> DataFrame:
@@ -26,16 +26,14 @@ def within_radius(items: DataFrame, centers: DataFrame, radius_m: float = SEARCH
     ``radius_page`` when only a page per centre is wanted.
     """
     grid = Grid(radius_m)
-    spots = _located(items)
-    spots = spots.withColumn("_row", grid.row("latitude")).withColumn("_col", grid.column("longitude", F.col("_row")))
     probes = _located(centers).withColumnsRenamed({"latitude": "center_latitude", "longitude": "center_longitude"})
-    probes = grid.explode_around(probes, "center_latitude", "center_longitude", radius_m + SLACK_M)
-    gap = haversine_m(F.col("latitude"), F.col("longitude"), F.col("center_latitude"), F.col("center_longitude"))
-    pairs = salted_join(probes, spots, ["_row", "_col"], ["center_latitude", "center_longitude"], salts=4)
-    pairs = pairs.withColumn("_d", gap).filter(F.col("_d") <= radius_m)
+    probes = grid.explode_around(probes, "center_latitude", "center_longitude", f"{radius_m + SLACK_M}D")
+    spots = grid.place(_located(items))
+    pairs = salted_join(spots, probes, ["_row", "_col"], [c for c in items.columns])
+    pairs = pairs.withColumn("_dist", F.expr(haversine_m("latitude", "longitude", "center_latitude", "center_longitude"))).filter(F.col("_dist") <= radius_m)
     if distance:
-        pairs = pairs.withColumnRenamed("_d", distance)
-    return pairs.drop("_row", "_col", "_d")
+        pairs = pairs.withColumnRenamed("_dist", distance)
+    return pairs.drop("_row", "_col", "_dist")
 
 
 def radius_page(
@@ -48,7 +46,7 @@ def radius_page(
     radius_m: float = SEARCH_RADIUS_M,
     extra: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of the nearest-area items for every request row, exact at any density.
+    """One page of the items around every request row, exact at any density.
 
     ``order`` is a list of non-null numeric columns, smaller first, ending in a unique key. Returns the
     request columns plus ``item_key`` and ``position``.
@@ -65,54 +63,39 @@ def radius_page(
     top = page * limit
     grid = Grid(radius_m / 8)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    spots = _located(items).select(F.col(item_key), "latitude", "longitude", key.alias("_key"))
-    spots = ranked(spots, ["latitude", "longitude"], [F.col("_key")], top, "_spot_rank")
-    spots = spots.withColumn("_row", grid.row("latitude")).withColumn("_col", grid.column("longitude", F.col("_row")))
-    cell_top = ranked(spots, ["_row", "_col"], [F.col("_key")], top, "_cell_rank")
+    best_first = [F.col("_key")]
+    spots = ranked(_located(items).select(item_key, *SPOT, key.alias("_key")), SPOT, best_first, top, "_spot_rank").drop("_spot_rank")
+    spots = grid.place(spots)
+    cell_top = ranked(spots, ["_row", "_col"], best_first, top, "_cell_rank").select("_row", "_col", item_key, "_key")
 
-    places = _located(requests).select("latitude", "longitude").distinct()
-    places = places.withColumn("_vrow", grid.row("latitude")).withColumn("_vcol", grid.column("longitude", F.col("_vrow")))
+    places = grid.place(_located(requests).select(*SPOT).distinct(), "_vrow", "_vcol")
+    at_cell = ["_vrow", "_vcol"]
 
     # cell pairs: at most a few hundred item cells around one request cell, whatever the data
-    vcells = places.select("_vrow", "_vcol").distinct()
-    vlat, vlon = grid.center(F.col("_vrow"), F.col("_vcol"))
-    vcells = vcells.select("*", vlat.alias("_vlat"), vlon.alias("_vlon"), grid.reach(F.col("_vrow")).alias("_vreach"))
-    pairs = grid.explode_around(vcells, "_vlat", "_vlon", F.col("_vreach") + radius_m + SLACK_M)
-    ilat, ilon = grid.center(F.col("_row"), F.col("_col"))
-    mid = haversine_m(F.col("_vlat"), F.col("_vlon"), ilat, ilon)
-    slop = F.col("_vreach") + grid.reach(F.col("_row")) + SLACK_M
-    pairs = pairs.select("_vrow", "_vcol", "_row", "_col", mid.alias("_mid"), slop.alias("_slop")).filter(F.col("_mid") - F.col("_slop") <= radius_m)
-    sure = F.col("_mid") + F.col("_slop") <= radius_m
-
-    inside = pairs.filter(sure).join(cell_top.select("_row", "_col", item_key, "_key"), ["_row", "_col"])
-    inside = ranked(inside, ["_vrow", "_vcol"], [F.col("_key")], top, "_n").select("_vrow", "_vcol", item_key, "_key", "_n")
-    bar = inside.filter(F.col("_n") == top).select("_vrow", "_vcol", F.col("_key").alias("_bar"))
-
-    edge_cells = pairs.filter(~sure).join(bar, ["_vrow", "_vcol"], "left")
-    edge = edge_cells.join(spots.select("_row", "_col", "latitude", "longitude", item_key, "_key"), ["_row", "_col"])
-    edge = edge.filter(F.col("_bar").isNull() | (F.col("_key") < F.col("_bar")))
-    edge = edge.select("_vrow", "_vcol", item_key, "_key", F.col("latitude").alias("_ilat"), F.col("longitude").alias("_ilon"))
-    at_spot = ["latitude", "longitude"]
-    edge_hits = salted_join(places, edge, ["_vrow", "_vcol"], at_spot, salts=4).filter(
-        haversine_m(F.col("_ilat"), F.col("_ilon"), F.col("latitude"), F.col("longitude")) <= radius_m
-    )
-    sure_hits = salted_join(places, inside, ["_vrow", "_vcol"], at_spot, salts=4)
-    hits = sure_hits.select(*at_spot, item_key, "_key").unionByName(edge_hits.select(*at_spot, item_key, "_key"))
+    cells = places.select(*at_cell).distinct()
+    cells = cells.selectExpr(*at_cell, f"{grid.center_lat('_vrow')} AS _vlat", f"{grid.center_lon('_vrow', '_vcol')} AS _vlon", f"{grid.reach('_vrow')} AS _vreach")
+    pairs = grid.explode_around(cells, "_vlat", "_vlon", f"_vreach + {radius_m + SLACK_M}D")
+    apart = haversine_m("_vlat", "_vlon", grid.center_lat("_row"), grid.center_lon("_row", "_col"))
+    pairs = pairs.selectExpr(*at_cell, "_row", "_col", f"{apart} AS _mid", f"_vreach + {grid.reach('_row')} + {SLACK_M}D AS _slop")
+    sure = pairs.filter(f"_mid + _slop <= {radius_m}D").drop("_mid", "_slop")
+    cut = pairs.filter(f"_mid + _slop > {radius_m}D AND _mid - _slop <= {radius_m}D").drop("_mid", "_slop")
+
+    inside = ranked(sure.join(cell_top, ["_row", "_col"]), at_cell, best_first, top, "_n").select(*at_cell, item_key, "_key", "_n")
+    bar = inside.filter(F.col("_n") == top).select(*at_cell, F.col("_key").alias("_bar"))
+
+    edge = cut.join(bar, at_cell, "left").join(spots.withColumnsRenamed({"latitude": "_ilat", "longitude": "_ilon"}), ["_row", "_col"])
+    edge = edge.filter("_bar IS NULL OR _key < _bar").select(*at_cell, item_key, "_key", "_ilat", "_ilon")
+    candidates = inside.select(*at_cell, item_key, "_key").unionByName(edge, allowMissingColumns=True)
+    hits = salted_join(places, candidates, at_cell, SPOT, salts=4)
+    hits = hits.filter(f"_ilat IS NULL OR {haversine_m('_ilat', '_ilon', 'latitude', 'longitude')} <= {radius_m}D").select(*SPOT, item_key, "_key")
     if extra is not None:
         # the k best of the everywhere items, as one bounded array from a scalar subquery
         best = extra.select(F.col(item_key), key.alias("_key")).orderBy("_key").limit(top)
         packed = best.agg(F.collect_list(F.struct(item_key, "_key")).alias("a"))
-        everywhere = places.select(*at_spot, F.explode(packed.scalar()).alias("_x"))
-        hits = hits.unionByName(everywhere.select(*at_spot, F.col(f"_x.{item_key}").alias(item_key), F.col("_x._key").alias("_key")))
-        hits = hits.distinct()
-    answers = ranked(hits, at_spot, [F.col("_key")], top, "position")
+        everywhere = places.select(*SPOT, F.explode(packed.scalar()).alias("_x")).select(*SPOT, "_x.*")
+        hits = hits.unionByName(everywhere).distinct()
+    answers = ranked(hits, SPOT, best_first, top, "position")
     if page > 1:
         answers = answers.filter(F.col("position") > top - limit)
-    answers = answers.select(*at_spot, item_key, "position")
-    return salted_join(requests, answers, at_spot, requests.columns, salts=4)
-
-
-def nearest_pages(pages: DataFrame, by: str) -> DataFrame:
-    """Renumber positions from 1 within a page."""
-    w = W.partitionBy(by).orderBy("position")
-    return pages.withColumn("position", F.row_number().over(w))
+    answers = answers.select(*SPOT, item_key, F.col("position").cast("bigint").alias("position"))
+    return salted_join(requests, answers, SPOT, requests.columns, salts=4)

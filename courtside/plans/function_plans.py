@@ -228,7 +228,7 @@ def _(m):
     return rows.select("facility_id", "week_day", "n", clock(start).alias("slot_start"), clock(end).alias("slot_end"))
 
 
-@query("x12_split_list", "SELECT user_id, len(string_split(email, '@')) AS parts FROM users")
+@query("x12_split_list", "SELECT user_id, CAST(len(string_split(email, '@')) AS INT) AS parts FROM users")
 def _(m):
     return m.users.select("user_id", F.size(x.split_list(F.col("email"), "@")).alias("parts"))
 
