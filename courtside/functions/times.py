@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def seconds_of(c: Column) -> Column:
-    """Second of the day of HH:mm:ss text."""
-    return F.substring(c, 1, 2).cast("int") * 3600 + F.substring(c, 4, 2).cast("int") * 60 + F.substring(c, 7, 2).cast("int")
+    """Second of the day of HH:mm:ss text, NULL for text of another shape."""
+    hours, minutes, seconds = (F.substring(c, at, 2).try_cast("int") for at in (1, 4, 7))
+    return hours * 3600 + minutes * 60 + seconds
 
 
 def clock(seconds: Column) -> Column:

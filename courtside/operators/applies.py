@@ -159,7 +159,7 @@ def make_notifications(events, actors) -> DataFrame:
     until = F.date_format(F.to_date("ts"), "yyyy-MM-dd")
     chat_link = F.format_string("/api/user/messages/%s?start_time=%s&end_time=%s", "object_id", since, until)
     post_link = F.format_string("/api/user/post/%s?page=1&limit=10", "object_id")
-    stars = F.when(F.col("rating").cast("double") % 1 == 0, F.col("rating").cast("bigint").cast("string")).otherwise(F.col("rating").cast("string"))
+    stars = F.when(F.col("rating").try_cast("double") % 1 == 0, F.col("rating").try_cast("double").cast("bigint").cast("string")).otherwise(F.col("rating").cast("string"))
     # Title, text and link of each kind of notification.
     templates = {
         "like": (F.lit("New like"), F.concat(F.col("_who"), F.lit(" liked your post")), post_link),
