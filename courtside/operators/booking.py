@@ -57,8 +57,8 @@ def allocate_slots(books, book_facilities, requests, facility_hours, trainer_hou
 
     The n-th booking of a (facility, trainer, date) group gets the n-th hour of the common hours; a slot
     that runs past their end or past midnight is refused, and so is a second booking of one user for the
-    same target and date. Since refused requests never take a slot, at most 24 requests of a group can win
-    and only those are ranked: a hot group is cut to 24 rows per task before its shuffle.
+    same target and date. A group can win at most 24 slots, and a refusal for lack of hours refuses the whole
+    group, so a hot group is cut to 24 rows per task before its shuffle.
     """
     asked = requests.withColumn("week_day", week_day(F.col("date")))
     asked = asked.withColumn("trainer_key", F.coalesce("trainer_id", F.lit(-1).cast("bigint")))
@@ -71,12 +71,14 @@ def allocate_slots(books, book_facilities, requests, facility_hours, trainer_hou
 
     ok = asked.join(taken.distinct(), ["user_id", *target], "left_anti")
     ok = ranked(ok, ["user_id", *target], [F.col("ts"), F.col("request_id")], 1, "_first").drop("_first")
-    for table, key in ((facilities, "facility_id"), (trainers, "trainer_id")):
-        if table is not None:
-            known = ok.join(table.select(key).distinct(), key, "left_semi")
-            ok = known if key == "facility_id" else known.unionByName(ok.filter(F.col("trainer_id").isNull()))
-    ok = ok.join(hours, ["facility_id", "trainer_key", "week_day"])
+    # all requests of a target share its hours, so ranking first leaves at most 24 rows per target for the joins
     ok = ranked(ok, target, [F.col("ts"), F.col("request_id")], 24, "_n")
+    if facilities is not None:
+        ok = ok.join(facilities.select("facility_id").distinct(), "facility_id", "left_semi")
+    if trainers is not None:
+        known = trainers.select(F.col("trainer_id").alias("trainer_key")).union(trainers.sparkSession.range(-1, 0)).distinct()
+        ok = ok.join(known, "trainer_key", "left_semi")
+    ok = ok.join(hours, ["facility_id", "trainer_key", "week_day"])
     counts = taken.groupBy(*target).agg(F.count(F.lit(1)).alias("_existing"))
     ok = ok.join(counts, target, "left")
     slot = F.coalesce("_existing", F.lit(0)) + F.col("_n") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions.common import for_keys, ntz, page_by
+from courtside.functions.common import for_keys, ntz, page_by, salted_join
 from courtside.operators.filters import authorized, has_prefix
 
 
@@ -51,7 +51,7 @@ def room_messages(messages, chats, users, req, start: str, end: str, image_prefi
     inside = messages.filter((F.col("time") >= ntz(f"{start} 00:00:00")) & (F.col("time") <= ntz(f"{end} 23:59:59")))
     sender = chats.select("chat_id", "room_id", F.col("user_id").alias("sender_id"))
     rows = inside.join(sender, "chat_id").join(users.select(F.col("user_id").alias("sender_id"), "first_name", "last_name"), "sender_id")
-    rows = has_prefix(rows, "content", image_prefix).join(asked, "room_id")
+    rows = salted_join(has_prefix(rows, "content", image_prefix), asked, "room_id", ["message_id"])
     return rows.select("user_id", "room_id", "message_id", "content", "time", "sender_id", "first_name", "last_name", "is_img")
 
 

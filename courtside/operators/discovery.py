@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions.common import first_image, flag, for_keys, page_by, rating_summary, salted_join, with_rating
+from courtside.functions.common import first_image, flag, for_keys, page_by, rating_summary, with_rating
 from courtside.operators.filters import contains_all, name_contains
 from courtside.operators.radius import radius_page, within_radius
 
@@ -19,6 +19,14 @@ def trainer_users(users: DataFrame, trainers: DataFrame) -> DataFrame:
     return trainers.join(people, "user_id").withColumnRenamed("user_id", "trainer_user_id")
 
 
+_PLACE_OUT = [f"{'card_' if c in ('latitude', 'longitude') else ''}{c} AS {c}" for c in PLACE]
+
+
+def _facility_cards(facilities, review_facility, facility_img) -> DataFrame:
+    cards = with_rating(facilities.select(*PLACE), review_facility, "facility_id")
+    return cards.join(first_image(facility_img, "facility_id"), "facility_id", "left")
+
+
 def _centers(req: DataFrame) -> DataFrame:
     return req.select("user_id", "latitude", "longitude")
 
@@ -30,27 +38,27 @@ def featured_trainers(users, trainers, review_trainer, favorite_trainer, req, pa
     """
     cards = trainer_users(users, trainers)
     order = [-F.coalesce(F.col("no_of_students"), F.lit(0)), F.col("trainer_id")]
-    got = radius_page(cards, req.select("user_id", "type", "latitude", "longitude"), order, "trainer_id", page, limit)
-    got = got.drop("latitude", "longitude").join(cards.select(*CARD), "trainer_id")
-    got = flag(with_rating(got, review_trainer, "trainer_id"), favorite_trainer, ["user_id", "trainer_id"], "is_favorite")
-    shown = F.when(F.col("type") != "facilitator", F.col("is_favorite"))
-    return got.select("user_id", "position", *CARD, "avg_rating", shown.alias("is_favorite"))
+    shown = with_rating(cards.select(*CARD), review_trainer, "trainer_id")
+    got = radius_page(cards, req.select("user_id", "type", "latitude", "longitude"), order, "trainer_id", page, limit, cards=shown)
+    got = flag(got, favorite_trainer, ["user_id", "trainer_id"], "is_favorite")
+    mark = F.when(F.col("type") != "facilitator", F.col("is_favorite"))
+    return got.select("user_id", "position", *CARD, "avg_rating", mark.alias("is_favorite"))
 
 
 def top_trainers(users, trainers, review_trainer, req, page=1, limit=10) -> DataFrame:
     """Trainers around each viewer, best average rating first."""
     cards = with_rating(trainer_users(users, trainers), review_trainer, "trainer_id")
     order = [-F.col("avg_rating"), F.col("trainer_id")]
-    got = radius_page(cards, _centers(req), order, "trainer_id", page, limit).drop("latitude", "longitude")
     shown = ["trainer_id", "profile_picture", "img", "first_name", "last_name", "avg_rating"]
-    return got.join(cards.select(*shown), "trainer_id").select("user_id", "position", *shown)
+    got = radius_page(cards, _centers(req), order, "trainer_id", page, limit, cards=cards.select(*shown))
+    return got.select("user_id", "position", *shown)
 
 
 def nearby_facilities(facilities, facility_img, review_facility, req, page=1, limit=10) -> DataFrame:
     """Facilities around each viewer with one image and the average rating."""
-    got = radius_page(facilities, _centers(req), [F.col("facility_id")], "facility_id", page, limit).drop("latitude", "longitude")
-    cards = with_rating(facilities.select(*PLACE), review_facility, "facility_id").join(first_image(facility_img, "facility_id"), "facility_id", "left")
-    return got.join(cards, "facility_id").select("user_id", "position", *PLACE, "img", "avg_rating")
+    cards = _facility_cards(facilities, review_facility, facility_img)
+    got = radius_page(facilities, _centers(req), [F.col("facility_id")], "facility_id", page, limit, cards=cards)
+    return got.selectExpr("user_id", "position", *_PLACE_OUT, "img", "avg_rating")
 
 
 def home_summary(chats, req) -> DataFrame:
@@ -73,15 +81,19 @@ def filter_trainers(
     good = good.join(open_day, "trainer_id", "left_semi")
     cards = trainer_users(users, good).join(rating_summary(review_trainer, "trainer_id", n=None), "trainer_id")
     cards = cards.filter(F.col("avg_rating").between(lo_rating, hi_rating))
-    got = radius_page(cards, _centers(req), [-F.col("avg_rating"), F.col("trainer_id")], "trainer_id", page, limit).drop("latitude", "longitude")
+    order = [-F.col("avg_rating"), F.col("trainer_id")]
+    got = radius_page(cards, _centers(req), order, "trainer_id", page, limit, cards=cards.select(*CARD, "avg_rating"))
     got = flag(got, favorite_trainer, ["user_id", "trainer_id"], "is_favorite")
-    return got.join(cards.select(*CARD, "avg_rating"), "trainer_id").select("user_id", "position", *CARD, "avg_rating", "is_favorite")
+    return got.select("user_id", "position", *CARD, "avg_rating", "is_favorite")
 
 
 def filter_facilities(facilities, review_facility, facility_img, amenities, facility_hours, want_amenities, want_days) -> DataFrame:
     """Facilities that have all wanted amenities and are open on all wanted days."""
-    open_days = facility_hours.filter(F.col("available") == 1).groupBy("facility_id").agg(F.collect_set("week_day").alias("days"))
-    good = contains_all(open_days, "days", want_days)
+    # a facility with no open day drops out even when no day is asked for
+    good = facility_hours.filter(F.col("available") == 1).select("facility_id", "week_day")
+    if want_days:
+        days = good.filter(F.col("week_day").isin(*want_days)).groupBy("facility_id").agg(F.collect_set("week_day").alias("days"))
+        good = contains_all(days, "days", want_days)
     if want_amenities:
         has = amenities.filter(F.col("name").isin(*want_amenities)).groupBy("facility_id").agg(F.collect_set("name").alias("has"))
         good = good.join(contains_all(has, "has", want_amenities), "facility_id", "left_semi")
@@ -110,13 +122,13 @@ def search_trainers(users, trainers, review_trainer, name: str, req, page=1, lim
     places = req.select("latitude", "longitude").distinct()
     cards = trainer_users(users, trainers)
     order = [F.col("trainer_id")]
+    shown = with_rating(name_contains(cards, ["first_name", "last_name"], name).select(*CARD), review_trainer, "trainer_id")
     if strict_radius:
-        got = radius_page(name_contains(cards, ["first_name", "last_name"], name), places, order, "trainer_id", page, limit)
+        got = radius_page(name_contains(cards, ["first_name", "last_name"], name), places, order, "trainer_id", page, limit, cards=shown)
     else:
         anywhere = name_contains(cards, ["first_name"], name)
-        got = radius_page(name_contains(cards, ["last_name"], name), places, order, "trainer_id", page, limit, extra=anywhere)
-    got = got.withColumnRenamed("latitude", "center_latitude").withColumnRenamed("longitude", "center_longitude")
-    got = with_rating(got, review_trainer, "trainer_id").join(cards.select(*CARD), "trainer_id")
+        got = radius_page(name_contains(cards, ["last_name"], name), places, order, "trainer_id", page, limit, extra=anywhere, cards=shown)
+    got = got.withColumnsRenamed({"latitude": "center_latitude", "longitude": "center_longitude"})
     return got.select("center_latitude", "center_longitude", "position", *CARD, "avg_rating")
 
 
@@ -141,8 +153,8 @@ def facility_suggestions(facilities, review_facility, facility_img, facility_hou
     By default hours are not compared. ``require_overlap`` applies the intended rule to the page: on every
     day the facility has hours, the trainer has hours too and the two do not miss each other.
     """
-    got = radius_page(facilities, req.select("trainer_id", "latitude", "longitude"), [F.col("facility_id")], "facility_id", page, limit)
-    got = got.drop("latitude", "longitude")
+    cards = _facility_cards(facilities, review_facility, facility_img)
+    got = radius_page(facilities, req.select("trainer_id", "latitude", "longitude"), [F.col("facility_id")], "facility_id", page, limit, cards=cards)
     if require_overlap:
         f = facility_hours.filter(F.col("start_time").isNotNull() & F.col("end_time").isNotNull())
         f = f.select("facility_id", "week_day", F.col("start_time").alias("fs"), F.col("end_time").alias("fe"))
@@ -150,8 +162,7 @@ def facility_suggestions(facilities, review_facility, facility_img, facility_hou
         days = got.select("trainer_id", "facility_id").join(f, "facility_id").join(t, ["trainer_id", "week_day"], "left")
         clash = days.filter(F.col("ts").isNull() | (F.col("te") < F.col("fs")) | (F.col("ts") > F.col("fe")))
         got = got.join(clash, ["trainer_id", "facility_id"], "left_anti")
-    cards = with_rating(facilities.select(*PLACE), review_facility, "facility_id").join(first_image(facility_img, "facility_id"), "facility_id", "left")
-    return got.join(cards, "facility_id").select("trainer_id", "position", *PLACE, "avg_rating", "img")
+    return got.selectExpr("trainer_id", "position", *_PLACE_OUT, "avg_rating", "img")
 
 
 def facilitator_nearby_trainers(users, trainers, review_trainer, req) -> DataFrame:

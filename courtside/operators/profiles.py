@@ -70,17 +70,22 @@ def trainer_info(trainers, users, req=None) -> DataFrame:
     return for_keys(trainers, req, "trainer_id").join(people, "user_id", "left").select("trainer_id", "first_name", "last_name", "img", "hourly_rate")
 
 
-def trainer_credentials(trainers, experiences, certificates, educations, req=None) -> DataFrame:
-    """One row per trainer with the lists of experiences, certificates and educations (by id)."""
-    out = for_keys(trainers, req, "trainer_id").select("trainer_id")
-    parts = {
-        "experiences": (experiences, ["experience_id", "designation", "company_name", "job_type", "start_date", "end_date"]),
-        "certificates": (certificates, ["certificate_id", "title", "organization", "start_date", "end_date"]),
-        "educations": (educations, ["education_id", "course_name", "institute_name", "study_status", "start_date", "end_date"]),
-    }
-    for name, (table, cols) in parts.items():
-        grouped = table.groupBy("trainer_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-        out = out.join(grouped, "trainer_id", "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+def trainer_credentials(experiences, certificates, educations, req=None) -> DataFrame:
+    """Experiences, certificates and educations of each trainer as rows of one shape.
+
+    ``kind`` tells the table, ``title`` what, ``place`` where and ``detail`` the job type or study status.
+    """
+    parts = [
+        (experiences, "experience", "designation", "company_name", "job_type"),
+        (certificates, "certificate", "title", "organization", None),
+        (educations, "education", "course_name", "institute_name", "study_status"),
+    ]
+    out = None
+    for table, kind, title, place, detail in parts:
+        rows = for_keys(table, req, "trainer_id").select(
+            "trainer_id", F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("item_id"), F.col(title).alias("title"), F.col(place).alias("place"),
+            (F.col(detail) if detail else F.lit(None).cast("string")).alias("detail"), "start_date", "end_date")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -132,9 +137,8 @@ def facility_gallery(facility_img, req=None, page=1, limit=5) -> DataFrame:
 
 
 def facility_images(facility_img, req=None) -> DataFrame:
-    """All images per facility as one list."""
-    rows = for_keys(facility_img, req, "facility_id")
-    return rows.groupBy("facility_id").agg(F.array_sort(F.collect_set("img")).alias("images"))
+    """All distinct images of each facility, one row each."""
+    return for_keys(facility_img, req, "facility_id").select("facility_id", "img").distinct()
 
 
 def facility_reviews(review_facility, users, review_facility_img, req=None, page=1, limit=10) -> DataFrame:

@@ -45,6 +45,7 @@ def radius_page(
     limit: int = 10,
     radius_m: float = SEARCH_RADIUS_M,
     extra: DataFrame | None = None,
+    cards: DataFrame | None = None,
 ) -> DataFrame:
     """One page of the items around every request row, exact at any density.
 
@@ -58,7 +59,8 @@ def radius_page(
          items give each request cell a k-th key that any further item has to beat;
       3. items of cells cut by the circle are tested per spot, but only if they beat that key.
     A crowded cell therefore contributes k rows, never its whole contents times its visitors.
-    ``extra`` adds items that match everywhere (their k best are merged into every page).
+    ``extra`` adds items that match everywhere (their k best are merged into every page). ``cards`` (one row
+    per item) adds display columns to the answers, before these are repeated for every request at a spot.
     """
     top = page * limit
     grid = Grid(radius_m / 8)
@@ -98,4 +100,6 @@ def radius_page(
     if page > 1:
         answers = answers.filter(F.col("position") > top - limit)
     answers = answers.select(*SPOT, item_key, F.col("position").cast("bigint").alias("position"))
+    if cards is not None:
+        answers = salted_join(answers, cards.withColumnsRenamed({c: f"card_{c}" for c in SPOT}), item_key, SPOT, salts=4)
     return salted_join(requests, answers, SPOT, requests.columns, salts=4)

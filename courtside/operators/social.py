@@ -36,7 +36,7 @@ def _dress(got: DataFrame, posts, users, likes, comments, post_img) -> DataFrame
     cards = posts.select("post_id", "content", "time", F.col("user_id").alias("author_id")).join(shown, "post_id", "left_semi")
     cards = _post_counts(cards, likes, comments).join(_author(users), "author_id")
     cards = attach_list(cards, post_img.withColumnRenamed("img", "post_img"), "post_id", "post_id", "post_img", "post_images")
-    return got.select("user_id", "post_id").join(cards, "post_id").select(
+    return salted_join(got.select("user_id", "post_id"), cards, "post_id", ["user_id"], salts=8).select(
         "user_id", "post_id", *AUTHOR, "post_images", "time", "content", "no_of_likes", "no_of_comments")
 
 
@@ -57,8 +57,8 @@ def feed_on_read(follows, posts, users, likes, comments, post_img, req=None, pag
 def recommended_posts(posts, users, likes, comments, post_img, req, page=1, limit=10) -> DataFrame:
     """The most liked posts with each viewer's own like.
 
-    The page is ranked once for everybody (at most ``limit`` rows) and reaches the viewers as one array
-    from a scalar subquery, so neither side is shuffled for it.
+    The page is ranked once for everybody (at most ``limit`` rows). Its ids, and at the end its cards, reach
+    the viewers from scalar subqueries; only (user_id, post_id) rows are shuffled, to look up the own likes.
     """
     ranked = posts.select("post_id", F.col("user_id").alias("author_id")).join(users.select(F.col("user_id").alias("author_id")), "author_id", "left_semi")
     ranked = ranked.join(count_by(likes, "post_id", "no_of_likes"), "post_id", "left").fillna({"no_of_likes": 0})
@@ -67,11 +67,13 @@ def recommended_posts(posts, users, likes, comments, post_img, req, page=1, limi
     n = count_by(comments.join(top.select("post_id"), "post_id", "left_semi"), "post_id", "no_of_comments")
     cards = cards.join(n, "post_id", "left").fillna({"no_of_comments": 0})
     cards = attach_list(cards, post_img.withColumnRenamed("img", "post_img"), "post_id", "post_id", "post_img", "post_images")
-    cols = ["post_id", *AUTHOR, "post_images", "time", "content", "no_of_likes", "no_of_comments"]
-    packed = cards.agg(F.collect_list(F.struct(*cols)).alias("a"))
-    rows = req.select("user_id", F.explode(packed.scalar()).alias("p")).select("user_id", "p.*")
+    cols = [*AUTHOR, "post_images", "time", "content", "no_of_likes", "no_of_comments"]
+    ids = top.agg(F.collect_list("post_id").alias("a"))
+    rows = req.select("user_id", F.explode(ids.scalar()).alias("post_id"))
     liked = likes.join(top.select("post_id"), "post_id", "left_semi")
-    return flag(rows, liked, ["user_id", "post_id"], "has_liked")
+    rows = flag(rows, liked, ["user_id", "post_id"], "has_liked")
+    by_id = cards.agg(F.map_from_entries(F.collect_list(F.struct("post_id", F.struct(*cols)))).alias("m"))
+    return rows.withColumn("p", F.element_at(by_id.scalar(), F.col("post_id"))).select("user_id", "post_id", "p.*", "has_liked")
 
 
 def community_or_recommended(user_unseen_posts, posts, users, likes, comments, post_img, req, page=1, limit=10) -> DataFrame:
@@ -89,7 +91,7 @@ def post_comments(comments, comment_likes, users, req, page=1, limit=10) -> Data
     got = page_by(wanted, "post_id", [F.col("time").desc(), F.col("comment_id")], page, limit)
     got = got.join(count_by(comment_likes, "comment_id", "no_of_likes"), "comment_id", "left").fillna({"no_of_likes": 0})
     got = got.withColumnRenamed("user_id", "author_id").join(_author(users), "author_id", "left")
-    rows = asked.join(got, "post_id")
+    rows = salted_join(asked, got, "post_id", ["user_id"], salts=8)
     rows = flag(rows, comment_likes, ["user_id", "comment_id"], "has_liked")
     return rows.select("user_id", "post_id", "comment_id", "time", "content", *FACE, "no_of_likes", "has_liked")
 

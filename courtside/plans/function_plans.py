@@ -112,7 +112,8 @@ def _(m):
 @query("f11_contains_all", """
 SELECT facility_id FROM (SELECT facility_id, count(DISTINCT name) FILTER (WHERE name IN ('Parking', 'Lockers')) AS n FROM amenities GROUP BY 1) WHERE n = 2""")
 def _(m):
-    have = m.amenities.groupBy("facility_id").agg(F.collect_set("name").alias("have"))
+    wanted = m.amenities.filter(F.col("name").isin("Parking", "Lockers"))  # lists never outgrow the wanted set
+    have = wanted.groupBy("facility_id").agg(F.collect_set("name").alias("have"))
     return f.contains_all(have, "have", ["Parking", "Lockers"]).select("facility_id")
 
 

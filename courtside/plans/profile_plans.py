@@ -132,19 +132,11 @@ def _(m):
 
 
 @query("r22_trainer_credentials", """
-SELECT t.trainer_id,
-  coalesce((SELECT string_agg(designation || '@' || company_name || ':' || job_type, ',' ORDER BY experience_id) FROM experiences x WHERE x.trainer_id = t.trainer_id), '') AS experiences,
-  coalesce((SELECT string_agg(title || '@' || organization, ',' ORDER BY certificate_id) FROM certificates x WHERE x.trainer_id = t.trainer_id), '') AS certificates,
-  coalesce((SELECT string_agg(course_name || '@' || institute_name, ',' ORDER BY education_id) FROM educations x WHERE x.trainer_id = t.trainer_id), '') AS educations
-FROM trainers t""")
+SELECT trainer_id, 'experience' AS kind, experience_id AS item_id, designation AS title, company_name AS place, job_type AS detail, start_date, end_date FROM experiences
+UNION ALL SELECT trainer_id, 'certificate', certificate_id, title, organization, NULL, start_date, end_date FROM certificates
+UNION ALL SELECT trainer_id, 'education', education_id, course_name, institute_name, study_status, start_date, end_date FROM educations""")
 def _(m):
-    df = p.trainer_credentials(m.trainers, m.experiences, m.certificates, m.educations)
-    return df.select(
-        "trainer_id",
-        F.expr("array_join(transform(experiences, x -> concat(x.designation, '@', x.company_name, ':', x.job_type)), ',')").alias("experiences"),
-        F.expr("array_join(transform(certificates, x -> concat(x.title, '@', x.organization)), ',')").alias("certificates"),
-        F.expr("array_join(transform(educations, x -> concat(x.course_name, '@', x.institute_name)), ',')").alias("educations"),
-    )
+    return p.trainer_credentials(m.experiences, m.certificates, m.educations)
 
 
 @query("r22_trainer_credential_item", """
@@ -222,9 +214,9 @@ def _(m):
     return p.facility_gallery(m.facility_img)
 
 
-@query("r32_facility_images", "SELECT facility_id, listagg(DISTINCT img, ',' ORDER BY img) AS images FROM facility_img GROUP BY 1")
+@query("r32_facility_images", "SELECT DISTINCT facility_id, img FROM facility_img")
 def _(m):
-    return _text(p.facility_images(m.facility_img), "images")
+    return p.facility_images(m.facility_img)
 
 
 @query("r33_facility_reviews", f"""
