@@ -50,6 +50,15 @@ class Grid:
         half_lon = f"pi() / {self.cells_in_row(row)} * cos(radians({self.low_abs_lat(row)}))"
         return f"{EARTH_RADIUS_M}D * sqrt({math.radians(self.step / 2) ** 2}D + pow({half_lon}, 2))"
 
+    def max_reach(self) -> float:
+        """Largest ``reach`` of any row."""
+        far = 0.0
+        for row in range(math.ceil(90 / self.step)):
+            low, high = row * self.step, min(90.0, (row + 1) * self.step)
+            n = max(1, math.floor(360 * math.cos(math.radians(high)) / self.step))
+            far = max(far, math.hypot(math.radians(self.step / 2), math.pi / n * math.cos(math.radians(low))))
+        return EARTH_RADIUS_M * far * (1 + 1e-9)
+
     def place(self, df: DataFrame, row: str = "_row", col: str = "_col", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
         """Add the cell of each point."""
         df = df.withColumn(row, F.expr(self.row(lat)))

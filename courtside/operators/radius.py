@@ -57,8 +57,11 @@ def radius_page(
       1. keep the k best items per spot (pruned before the shuffle);
       2. cell pairs whose farthest points are within the radius need no distance test: the k best of those
          items give each request cell a k-th key that any further item has to beat;
-      3. items of cells cut by the circle are tested per spot, but only if they beat that key.
-    A crowded cell therefore contributes k rows, never its whole contents times its visitors.
+      3. items of cells cut by the circle are tested per spot, but only if they beat that key, and items
+         that beat no key around them are dropped before any pairing.
+    A crowded cell therefore contributes about k rows, not its whole contents times its visitors. (A request
+    cell with fewer than k sure items has no such key and tests all spots of the cells its circle cuts; ranks
+    that follow the map, such as best in the north, weaken the key and cost more tests, too.)
     ``extra`` adds items that match everywhere (their k best are merged into every page). ``cards`` (one row
     per item) adds display columns to the answers, before these are repeated for every request at a spot.
     """
@@ -73,20 +76,28 @@ def radius_page(
     places = grid.place(_located(requests).select(*SPOT).distinct(), "_vrow", "_vcol")
     at_cell = ["_vrow", "_vcol"]
 
-    # cell pairs: at most a few hundred item cells around one request cell, whatever the data
+    # cell pairs: occupied item cells around occupied request cells, found through a coarser grid
+    coarse = Grid(radius_m)
     cells = places.select(*at_cell).distinct()
     cells = cells.selectExpr(*at_cell, f"{grid.center_lat('_vrow')} AS _vlat", f"{grid.center_lon('_vrow', '_vcol')} AS _vlon", f"{grid.reach('_vrow')} AS _vreach")
-    pairs = grid.explode_around(cells, "_vlat", "_vlon", f"_vreach + {radius_m + SLACK_M}D")
-    apart = haversine_m("_vlat", "_vlon", grid.center_lat("_row"), grid.center_lon("_row", "_col"))
-    pairs = pairs.selectExpr(*at_cell, "_row", "_col", f"{apart} AS _mid", f"_vreach + {grid.reach('_row')} + {SLACK_M}D AS _slop")
+    cells = coarse.explode_around(cells, "_vlat", "_vlon", f"_vreach + {radius_m + grid.max_reach() + SLACK_M}D").withColumnsRenamed({"_row": "_crow", "_col": "_ccol"})
+    used = cell_top.select("_row", "_col").distinct()
+    used = used.selectExpr("_row", "_col", f"{grid.center_lat('_row')} AS _ilat", f"{grid.center_lon('_row', '_col')} AS _ilon", f"{grid.reach('_row')} AS _ireach")
+    pairs = cells.join(coarse.place(used, "_crow", "_ccol", "_ilat", "_ilon"), ["_crow", "_ccol"])
+    apart = haversine_m("_vlat", "_vlon", "_ilat", "_ilon")
+    pairs = pairs.selectExpr(*at_cell, "_row", "_col", f"{apart} AS _mid", f"_vreach + _ireach + {SLACK_M}D AS _slop")
     sure = pairs.filter(f"_mid + _slop <= {radius_m}D").drop("_mid", "_slop")
     cut = pairs.filter(f"_mid + _slop > {radius_m}D AND _mid - _slop <= {radius_m}D").drop("_mid", "_slop")
 
     inside = ranked(sure.join(cell_top, ["_row", "_col"]), at_cell, best_first, top, "_n").select(*at_cell, item_key, "_key", "_n")
     bar = inside.filter(F.col("_n") == top).select(*at_cell, F.col("_key").alias("_bar"))
 
-    edge = cut.join(bar, at_cell, "left").join(spots.withColumnsRenamed({"latitude": "_ilat", "longitude": "_ilon"}), ["_row", "_col"])
-    edge = edge.filter("_bar IS NULL OR _key < _bar").select(*at_cell, item_key, "_key", "_ilat", "_ilon")
+    cut = cut.join(bar, at_cell, "left")
+    # the weakest bar around an item cell drops most of a crowd before it meets any request cell
+    weakest = cut.groupBy("_row", "_col").agg(F.max("_bar").alias("_weakest"), F.max(F.col("_bar").isNull()).alias("_open"))
+    able = spots.join(weakest, ["_row", "_col"]).filter("_open OR _key < _weakest").drop("_weakest", "_open")
+    able = able.withColumnsRenamed({"latitude": "_ilat", "longitude": "_ilon"})
+    edge = cut.join(able, ["_row", "_col"]).filter("_bar IS NULL OR _key < _bar").select(*at_cell, item_key, "_key", "_ilat", "_ilon")
     candidates = inside.select(*at_cell, item_key, "_key").unionByName(edge, allowMissingColumns=True)
     hits = salted_join(places, candidates, at_cell, SPOT, salts=4)
     hits = hits.filter(f"_ilat IS NULL OR {haversine_m('_ilat', '_ilon', 'latitude', 'longitude')} <= {radius_m}D").select(*SPOT, item_key, "_key")
