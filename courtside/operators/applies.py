@@ -248,11 +248,36 @@ def settle_payments(payments, payments_facility, books, book_facilities, users,
         out["books" if with_trainer else "book_facilities"] = book.join(doomed, book_key, "left_anti")
     keys = paid_keys[0].unionByName(paid_keys[1])
     out["sessions"] = session_from_booking(books, book_facilities, users, facilities).join(keys, ["kind", "book_id"], "left_semi")
+    out["trainer_sessions"] = out["sessions"].filter(F.col("trainer_id").isNotNull()).select("book_id", "trainer_id")
     known = payments.select("book_id", F.lit(True).alias("_with")).unionByName(payments_facility.select("book_id", F.lit(False).alias("_with")))
     out["rejected"] = rows.filter(F.col("type").isin("payment_intent.succeeded", "payment_intent.canceled")).join(known, ["book_id", "_with"], "left_anti").withColumnRenamed("_with", "with_trainer")
     return out
 
 
+def create_payments(payments, payments_facility, summaries, events):
+    """W15, first step: a pending payment for a user's own booking that has none pending.
+
+    ``summaries`` is the booking summary (R50); events name exactly one of ``book_id`` and
+    ``book_facility_id``. New rows carry ``kind`` (trainer or facility), which tells their table.
+    """
+    one = F.col("book_id").isNull() != F.col("book_facility_id").isNull()
+    kind = F.when(F.col("book_id").isNotNull(), "trainer").otherwise("facility")
+    asked = events.withColumn("_one", one.cast("int")).withColumn("kind", kind).withColumn("_book", F.coalesce("book_id", "book_facility_id"))
+    mine = summaries.select("kind", F.col("book_id").alias("_book"), "user_id", "amount_cents")
+    pending = payments.withColumn("kind", F.lit("trainer")).unionByName(payments_facility.withColumn("kind", F.lit("facility")))
+    pending = pending.filter(F.col("status") == "pending").select("kind", F.col("book_id").alias("_book"))
+    asked = flag(flag(asked, mine, ["kind", "_book", "user_id"], "_own"), pending, ["kind", "_book"], "_open")
+    bad = [("one_booking_needed", F.col("_one") == 0), ("not_booked", F.col("_own") == 0), ("already_pending", F.col("_open") == 1)]
+    good = asked
+    for _, hit in bad:
+        good = good.filter(~hit)
+    won = _earliest(good, ["kind", "_book"])
+    new = won.join(mine, ["kind", "_book", "user_id"]).select(
+        "kind", F.col("_book").alias("book_id"), F.col("amount_cents").alias("total_amount"), "currency", F.lit("pending").alias("status"))
+    rejected = _reject(asked.join(won.select("event_id"), "event_id", "left_anti"), bad, "repeated").select(*events.columns, "reason")
+    return new, rejected
+
+
 def assign_ids(df: DataFrame, order: Sequence[Column], start: int | Column = 1, out: str = "id") -> DataFrame:
     """Consecutive ids in ``order`` without a single-task sort.
 

@@ -286,16 +286,24 @@ def _(m):
     return _settled(m)["book_facilities"]
 
 
-@query("w15_sessions", f"""
+PAID_SESSIONS = f"""
 WITH {ALL}, {PAID}, pp AS (SELECT 'trainer' AS kind, book_id, status FROM payments UNION ALL SELECT 'facility', book_id, status FROM payments_facility)
 SELECT b.kind, b.book_id, b.user_id, b.facility_id, b.trainer_id, u.first_name || ' -> ' || f.name AS name, 'upcoming' AS status,
   CAST(CAST(b.time AS VARCHAR) || ' ' || b.start_time AS TIMESTAMP) AS start_time, CAST(CAST(b.time AS VARCHAR) || ' ' || b.end_time AS TIMESTAMP) AS end_time
 FROM allb b JOIN pp ON pp.kind = b.kind AND pp.book_id = b.book_id AND pp.status = 'pending' JOIN st s ON s.book_id = b.book_id AND s.paid
-LEFT JOIN users u ON u.user_id = b.user_id LEFT JOIN facilities f ON f.facility_id = b.facility_id""")
+LEFT JOIN users u ON u.user_id = b.user_id LEFT JOIN facilities f ON f.facility_id = b.facility_id"""
+
+
+@query("w15_sessions", PAID_SESSIONS)
 def _(m):
     return _settled(m)["sessions"]
 
 
+@query("w15_trainer_sessions", f"SELECT book_id, trainer_id FROM ({PAID_SESSIONS}) x WHERE trainer_id IS NOT NULL")
+def _(m):
+    return _settled(m)["trainer_sessions"]
+
+
 @query("w15_rejected", f"""
 WITH {PAID} SELECT event_id, ts, transaction_id, type, book_id, book_id % 4 <> 0 AS with_trainer FROM ev WHERE type <> 'payment_intent.created'
 AND NOT EXISTS (SELECT 1 FROM payments p WHERE p.book_id = ev.book_id) AND NOT EXISTS (SELECT 1 FROM payments_facility p WHERE p.book_id = ev.book_id)""")
@@ -303,6 +311,38 @@ def _(m):
     return _settled(m)["rejected"]
 
 
+# everybody asks to pay every own booking twice; the user after them asks, too, and names both kinds
+ASK_PAY = """SELECT book_id * 4 AS event_id, CAST(time AS TIMESTAMP_NTZ) AS ts, user_id, book_id, CAST(NULL AS BIGINT) AS book_facility_id, 'usd' AS currency FROM books
+UNION ALL SELECT book_id * 4 + 1, CAST(time AS TIMESTAMP_NTZ), user_id, book_id, NULL, 'eur' FROM books
+UNION ALL SELECT book_id * 4 + 2, CAST(time AS TIMESTAMP_NTZ), user_id + 1, book_id, NULL, 'usd' FROM books
+UNION ALL SELECT book_id * 4 + 3, CAST(time AS TIMESTAMP_NTZ), user_id, book_id, book_id, 'usd' FROM books
+UNION ALL SELECT book_facility_id * 4, CAST(time AS TIMESTAMP_NTZ), user_id, NULL, book_facility_id, 'usd' FROM book_facilities"""
+ASK_ORACLE = f"""{ALL}, e AS (SELECT *, CASE WHEN book_id IS NOT NULL THEN 'trainer' ELSE 'facility' END AS kind, coalesce(book_id, book_facility_id) AS b FROM ({ASK_PAY.replace("TIMESTAMP_NTZ", "TIMESTAMP")}) x),
+open AS (SELECT 'trainer' AS kind, book_id AS b FROM payments WHERE status = 'pending' UNION ALL SELECT 'facility', book_id FROM payments_facility WHERE status = 'pending'),
+t AS (SELECT e.*, (book_id IS NULL) = (book_facility_id IS NULL) AS wrong, NOT EXISTS (SELECT 1 FROM allb a WHERE a.kind = e.kind AND a.book_id = e.b AND a.user_id = e.user_id) AS foreign_,
+  EXISTS (SELECT 1 FROM open o WHERE o.kind = e.kind AND o.b = e.b) AS pend FROM e),
+won AS (SELECT * FROM t WHERE NOT wrong AND NOT foreign_ AND NOT pend QUALIFY row_number() OVER (PARTITION BY kind, b ORDER BY ts, event_id) = 1)"""
+
+
+def _asked(m):
+    bills = b.booking_summary(m.books, m.book_facilities, m.facilities, m.review_facility, m.facility_img, m.trainers, m.users)
+    return a.create_payments(m.payments, m.payments_facility, bills, m.derive(ASK_PAY))
+
+
+@query("w15_create_payments", f"""
+WITH {ASK_ORACLE} SELECT w.kind, w.b AS book_id, CAST(floor((f.hourly_rate + coalesce(tr.hourly_rate, 0)) * 100 + 0.5) AS BIGINT) AS total_amount, w.currency, 'pending' AS status
+FROM won w JOIN allb a ON a.kind = w.kind AND a.book_id = w.b JOIN facilities f ON f.facility_id = a.facility_id LEFT JOIN trainers tr ON tr.trainer_id = a.trainer_id""")
+def _(m):
+    return _asked(m)[0]
+
+
+@query("w15_create_payments_rejected", f"""
+WITH {ASK_ORACLE} SELECT event_id, CASE WHEN wrong THEN 'one_booking_needed' WHEN foreign_ THEN 'not_booked' WHEN pend THEN 'already_pending' ELSE 'repeated' END AS reason
+FROM t WHERE event_id NOT IN (SELECT event_id FROM won)""")
+def _(m):
+    return _asked(m)[1].select("event_id", "reason")
+
+
 @query("w16_validate_hours", """
 SELECT facility_id, week_day, 'structure' AS failed FROM facility_availability_hours WHERE available = 0 AND start_time IS NOT NULL""")
 def _(m):
