@@ -41,3 +41,12 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         hex_sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    words = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "repeats.n_words", "repeats.n_removed", hex_sha256(words).alias("kept_sha256"))
