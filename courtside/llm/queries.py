@@ -50,3 +50,10 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
     words = F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return out.select("doc_id", "repeats.n_words", "repeats.n_removed", hex_sha256(words).alias("kept_sha256"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.golay import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, max_bits=4)
