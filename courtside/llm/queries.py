@@ -57,3 +57,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtside.llm.golay import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
+@query("op1_decontam")
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99)
