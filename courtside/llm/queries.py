@@ -64,3 +64,13 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtside.llm.decontam import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99)
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.labelled import id_remainder, labels_of
+    from courtside.llm.quality_net import fit_quality, score_quality
+
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    net = fit_quality(docs, labels_of(table(spark, sf_dir, "labels"), "quality").where(~held_out))
+    return score_quality(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
