@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, i
 
     A text with fewer words than a shingle is hashed whole; one without words (null, empty) has fingerprint zero and is linked like any
     other. Rows with equal ids each get a row. A null id is never the smallest; where a component has no other id, it is null. Other
-    columns are not read. The id must be a bigint. An empty table gives an empty table.
+    columns are not read. The id is of any type that can be ordered. An empty table gives an empty table.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys cover at most {MAX_BITS} differing bits")
