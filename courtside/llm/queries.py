@@ -74,3 +74,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     net = fit_quality(docs, labels_of(table(spark, sf_dir, "labels"), "quality").where(~held_out))
     return score_quality(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_rules")
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.labelled import labels_of
+    from courtside.llm.rule_lists import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels"), "quality"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
