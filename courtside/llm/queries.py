@@ -83,3 +83,13 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = quality_rules(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels"), "quality"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.labelled import id_remainder, labels_of
+    from courtside.llm.toxicity import score_toxicity
+
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    out = score_toxicity(docs, labels_of(table(spark, sf_dir, "labels"), "toxic").where(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
