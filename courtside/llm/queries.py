@@ -93,3 +93,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     out = score_toxicity(docs, labels_of(table(spark, sf_dir, "labels"), "toxic").where(~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+OP7_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, replace(replace(replace(role, '\', '\s'), '<', '\l'), chr(10), '\n') as safe_role, replace(replace(text, '\', '\s'), '<', '\l') as safe_text from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+  cast(sum(length('<turn>') + length(safe_role) + 1 + length(safe_text) + length('</turn>') + 1) as bigint) as formatted_chars
+from sized group by conv_id"""
+
+
+@query("op7_chats", OP7_SQL)
+def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.chats import format_rows, probe, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe(spark))
+    out = read_back(format_rows(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), hex_sha256(turns).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
+        hex_sha256(learned).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
