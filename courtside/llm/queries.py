@@ -129,3 +129,25 @@ def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), hex_sha256(turns).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
         hex_sha256(learned).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+q as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest,
+  case when strlen(payload) >= 1000 then max(page_id) over (partition by payload) end as first from p)
+select page_id, payload_bytes, payload_digest, case when page_id < first then 'revisit' else 'response' end as record_type,
+  case when page_id < first then first end as refers_to
+from q"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.functions.store import new_path
+    from courtside.llm.warc import page_number, page_records, read_archives, write_archives
+
+    manifest = write_archives(page_records(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
+    found = read_archives(manifest).where("kind = 'record'")
+    return found.select(
+        page_number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"),
+        page_number(F.col("refers_to")).alias("refers_to"),
+    )
