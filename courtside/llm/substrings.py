@@ -207,7 +207,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     batches, buckets = max(1, math.ceil(words / per_batch)), max(1, math.ceil(words / (3 * per_batch)))
     schema = T.StructType([*kept.schema.fields, T.StructField("repeats", REPEATS)])
     arrow = to_arrow_schema(schema)
+    # Both uses of the batches read the same columns, so that Spark shuffles the documents once.
     dealt = kept.withColumn("_batch", F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("int"))
-    packed = dealt.select("_batch", id_col, text_col).groupBy("_batch").applyInArrow(lambda t: pack_batch(t, window, buckets, id_col, text_col), PACKED)
+    packed = dealt.groupBy("_batch").applyInArrow(lambda t: pack_batch(t, window, buckets, id_col, text_col), PACKED)
     answers = packed.groupBy("bucket").applyInArrow(answer_bucket, ANSWER)
     return dealt.groupBy("_batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: cut_batch(a, b, window, buckets, id_col, text_col, arrow), schema)
