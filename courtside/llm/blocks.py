@@ -21,6 +21,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 #: One random odd number per byte value; separators weigh nothing.
 BYTE_WEIGHT = np.where(SEPARATOR, 0, _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)).astype(np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -64,9 +65,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE to the powers 0 to n - 1, modulo 2^64."""
-    out = np.full(n, BASE, np.uint64)
+def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 

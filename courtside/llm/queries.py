@@ -43,7 +43,23 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_substrings")
+OP3_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, len(w) as n, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from docs),
+windows as (
+  select doc_id, i, hash(l) as h
+  from (select doc_id, n, i, list(word) over (partition by doc_id order by i rows between current row and 49 following) as l from words) where i + 49 <= n),
+firsts as (select h, min(doc_id) as first from windows group by h having count(*) > 1),
+gone as (
+  select distinct doc_id, i + k as i from (select doc_id, i from windows join firsts using (h) where first < doc_id), (select unnest(range(50)) as k)),
+kept as (
+  select doc_id, count(gone.i) as n_removed, string_agg(case when gone.i is null then word end, ' ' order by words.i) as text
+  from words left join gone using (doc_id, i) group by doc_id)
+select docs.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (doc_id)"""
+
+
+@query("op3_substrings", OP3_SQL)
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtside.llm.substrings import remove_repeats
 

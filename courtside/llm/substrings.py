@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.llm.blocks import BASE, find_words, hash_words, mixed, powers, text_blocks, text_bytes
+from courtside.llm.blocks import INVERSE, find_words, hash_words, mixed, powers, text_blocks, text_bytes
 
 BATCH_WORDS = 600_000
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than any other
@@ -36,10 +36,9 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     n = len(words)
     if n < window:
         return np.zeros(0, np.uint64)
-    power = powers(n + window)
-    # A word at place i weighs BASE^(n - i); multiplying a window from s on by BASE^s makes its weights the same everywhere.
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[n - 1 :: -1][:n], dtype=np.uint64)])
-    return mixed((total[window:] - total[: n - window + 1]) * power[: n - window + 1])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(n), dtype=np.uint64)])
+    # The first word of a window from s on weighs BASE^s in the sum; dividing by that makes the weights the same everywhere.
+    return mixed((total[window:] - total[: n - window + 1]) * powers(n - window + 1, INVERSE))
 
 
 class Batch:
