@@ -82,11 +82,18 @@ def _turns(mapping: Mapping, single, several) -> Column:
     else:
         parts = [F.struct(F.lit(role).alias("role"), single(path).alias("text")) for role, path in mapping.fields]
         turns = F.filter(F.array(*parts), lambda t: F.coalesce(t["text"], F.lit("")) != "")
-    for other, name in mapping.roles.items():
-        turns = F.transform(turns, lambda t, other=other, name=name: F.struct(F.when(t["role"] == other, name).otherwise(t["role"]).alias("role"), t["text"].alias("text")))
+    if mapping.roles:
+        turns = F.transform(turns, lambda t: F.struct(_canonical(t["role"], mapping.roles).alias("role"), t["text"].alias("text")))
     return turns.cast(f"array<{TURN}>")
 
 
+def _canonical(role: Column, names: dict[str, str]) -> Column:
+    out = role
+    for other, name in names.items():
+        out = F.when(role == other, name).otherwise(out)
+    return out
+
+
 def turns_of_table(records: DataFrame, id_col: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """``id_col``, ``layout`` and ``turns`` of records in typed columns; the layout follows from the table's schema (null: unknown, no turns)."""
     mapping = mapping_for(T.StructType([f for f in records.schema if f.name != id_col]), mappings)

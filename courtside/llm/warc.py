@@ -5,7 +5,7 @@ reported by tasks that Spark has committed are listed in the manifest, so lost o
 
 The reader goes through an archive record by record. Every record is checked: the gzip checksum, the version line, the header fields, the
 length, the line breaks behind the block, and the digests of block and payload. Where a check fails it searches for the next gzip member
-(or, in a plain archive, the next version line at the start of a line) whose record passes all checks, goes on there, and reports the
+(or, in a plain archive, the next version line) whose record passes all checks, goes on there, and reports the
 bytes in between as a quarantined gap with the reason.
 """
 
@@ -34,6 +34,7 @@ ID = "<urn:page:{}>"
 FILE_BYTES = 256 << 20  # an archive is closed once it is larger
 HEADER_BYTES = 1 << 20  # longest header
 CHUNK = 1 << 16
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 
 MANIFEST = "path string, bytes bigint, records bigint"
 READ = "path string, kind string, start bigint, end bigint, reason string, type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_length bigint, payload binary"
@@ -146,6 +147,8 @@ def check(data: bytes, at: int = 0) -> tuple[Record, int]:
         length = int(fields["content-length"])
     except (ValueError, KeyError) as e:
         raise Damage("header fields are broken") from e
+    if any(f not in fields for f in MANDATORY):
+        raise Damage("a mandatory field is missing")
     after = end + 4 + length
     block = data[end + 4 : after]
     if len(block) != length or data[after : after + 4] != b"\r\n\r\n":
@@ -215,16 +218,15 @@ def read_plain(file, at: int) -> tuple[list[Record], int]:
 
 
 def search(file, at: int, packed: bool) -> int:
-    """The next place from ``at`` on where a member, or a line with a version, begins; the file's size if there is none."""
-    wanted = MEMBER if packed else b"\nWARC/"
-    place = at if packed else max(at - 1, 0)
+    """The next place from ``at`` on where a member or a version line may begin; the file's size if there is none."""
+    wanted, place = MEMBER if packed else b"WARC/", at
     overlap = len(wanted) - 1
     while place < file.size():
         file.seek(place)
         chunk = file.read(CHUNK)
         found = chunk.find(wanted)
         if found >= 0:
-            return place + found + (0 if packed else 1)
+            return place + found
         if len(chunk) <= overlap:
             break
         place += len(chunk) - overlap
@@ -270,7 +272,7 @@ def read_archives(paths: DataFrame, packed: bool | None = None) -> DataFrame:
                 with store.open_input_file(place) as file:
                     for start, end, found in salvage(file, path.endswith(".gz") if packed is None else packed):
                         held.append(_row(path, start, end, found))
-                        size += len(held[-1]["payload"] or b"")
+                        size += len(held[-1].get("payload") or b"")
                         if size > CHUNK * 32 or len(held) >= 1000:
                             yield pa.RecordBatch.from_pylist(held, READ_ARROW)
                             held, size = [], 0
