@@ -150,12 +150,12 @@ def _delivered(m):
     return feed.select("user_id", "post_id")
 
 
-@query("w08_consume_feed", f"SELECT user_id, post_id FROM user_unseen_posts WHERE user_id NOT IN (SELECT user_id FROM ({PAGE}))")
+@query("w08_consume_feed", f"SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT DISTINCT user_id FROM ({PAGE})) d ON d.user_id = q.user_id WHERE d.user_id IS NULL")
 def _(m):
     return a.consume_feed(m.user_unseen_posts, _delivered(m))
 
 
-@query("w08_consume_feed_delivered_only", f"SELECT user_id, post_id FROM user_unseen_posts WHERE (user_id, post_id) NOT IN (SELECT user_id, post_id FROM ({PAGE}))")
+@query("w08_consume_feed_delivered_only", f"SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT DISTINCT user_id, post_id FROM ({PAGE})) d ON d.user_id = q.user_id AND d.post_id = q.post_id WHERE d.user_id IS NULL")
 def _(m):
     return a.consume_feed(m.user_unseen_posts, _delivered(m), delivered_only=True)
 
