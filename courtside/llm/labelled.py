@@ -17,6 +17,16 @@ def labels_of(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFram
     return rows.groupBy(id_col).agg((F.max(label) > 0).cast("int").alias(label))
 
 
+SENT_ROWS = 2_000_000  # labels (16 bytes each) that are sent to the scan of the documents instead of shuffling the texts
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``text`` and ``label`` of every labelled row. More labels than SENT_ROWS meet the documents in a shuffled join."""
+    some = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(some) if some.count() <= SENT_ROWS else some, "id")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text`` and ``label`` of at most ``per_class`` ids of either label, taken by a hash of the id.
 
