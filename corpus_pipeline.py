@@ -16,7 +16,7 @@ from courtside.llm.labelled import id_remainder, labels_of
 from courtside.llm.pieces import encode_pieces
 from courtside.llm.quality_net import fit_quality, keep_quality
 from courtside.llm.queries import table
-from courtside.llm.substrings import remove_repeats
+from courtside.llm.substrings import free_name, remove_repeats
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -36,7 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", key.alias("key")).alias("row"), "text")
     groups = near_duplicates(rows, words=4, max_bits=4, id_col="row")
     firsts = groups.where("row = component_id").select("row.key").distinct()
-    return docs.withColumn("_key", key).join(firsts.withColumnRenamed("key", "_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    name = free_name(docs, "_key")
+    return docs.withColumn(name, key).join(firsts.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,8 +215,8 @@ def find_leaks(
     """One row per document row and item found in it: ``id_col``, ``item_id``, start, n_words, edits of the nearest window (the first of these).
 
     A null or empty text has no words and leaks nothing; an item without words is never found; an item of k words allows floor(tolerance
-    * k) edits, so a very short one must occur as it is. Items with equal words are all reported, as are rows with equal ids. Whole texts
-    are searched. Other columns are not read. An empty benchmark or empty documents give no rows.
+    * k) edits, so a very short one must occur as it is. Items with equal words are all reported, as are rows with equal or null ids. Whole
+    texts are searched. Other columns are not read. An empty benchmark or empty documents give no rows.
     """
     spark = docs.sparkSession
     schema = T.StructType([

@@ -142,7 +142,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
 
 
 def score_quality(docs: DataFrame, net: Net | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` of every row. A null text counts as empty, and an empty text is one chunk of padding; other columns are not read."""
+    """``id_col`` and ``score`` of every row, also where ids repeat or are null.
+
+    A null text counts as empty, and an empty text is one chunk of padding; other columns are not read. An empty table gives an empty table.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,9 +99,16 @@ REPEATS = T.StructType([
 ])
 
 
-def pack_batch(table: pa.Table, window: int, buckets: int, id_col: str, text_col: str) -> pa.Table:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def pack_batch(table: pa.Table, window: int, buckets: int, id_col: str, text_col: str, batch_col: str) -> pa.Table:
     own = Batch(table, window, id_col, text_col)
-    number = table.column("_batch")[0].as_py()
+    number = table.column(batch_col)[0].as_py()
     rank = own.ranks[own.first]
     out = {f.name: [] for f in PACKED}
     bounds = own.bounds(buckets)
@@ -207,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     schema = T.StructType([*kept.schema.fields, T.StructField("repeats", REPEATS)])
     arrow = to_arrow_schema(schema)
     # Both uses of the batches read the same columns, so that Spark shuffles the documents once.
-    dealt = kept.withColumn("_batch", F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("int"))
-    packed = dealt.groupBy("_batch").applyInArrow(lambda t: pack_batch(t, window, buckets, id_col, text_col), PACKED)
+    batch = free_name(kept, "_batch")
+    dealt = kept.withColumn(batch, F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("int"))
+    packed = dealt.groupBy(batch).applyInArrow(lambda t: pack_batch(t, window, buckets, id_col, text_col, batch), PACKED)
     answers = packed.groupBy("bucket").applyInArrow(answer_bucket, ANSWER)
-    return dealt.groupBy("_batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: cut_batch(a, b, window, buckets, id_col, text_col, arrow), schema)
+    return dealt.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(lambda a, b: cut_batch(a, b, window, buckets, id_col, text_col, arrow), schema)

@@ -51,7 +51,7 @@ def test_spans_are_maximal_and_texts_keep_their_spacing(spark):
 def test_nulls_extra_columns_and_empty_tables(spark):
     df = docs_frame(spark, [(1, None), (2, ""), (None, None)], extra=True)
     got = remove_repeats(df).collect()
-    assert sorted(str(r["text"]) for r in got) == ["", "None", "None"] and all(r["repeats"]["n_words"] == 0 and r["n_words"] == "x9" for r in got)
+    assert sorted(str(r["text"]) for r in got) == ["", "None", "None"] and all(r["repeats"]["n_words"] == 0 and r["n_words"] == "x9" and r["_batch"] == "x10" for r in got)
     assert remove_repeats(docs_frame(spark, [])).count() == 0
 
 
