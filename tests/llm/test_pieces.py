@@ -14,7 +14,7 @@ def test_against_the_library():
     letters = "aeinrst  \n.,1é▁ñß\t\0中\U0001F600<s>"
     texts = [t or "" for t in ODD] + ["</s><unk><0x0A>", " " * 40 + "x", "a" * 3000, "ab" * SHORT, "x" + "▁" * 9, "supercalifragilisticexpialidocious" * 3]
     texts += ["".join(r.choice(letters) for _ in range(r.randrange(0, 90))) for _ in range(400)]
-    ids = own.encode(texts)
+    ids = [x.tolist() for x in own.encode(texts)]
     assert ids == library.encode(texts, add_eos=True)
     assert [own.vocabulary.decode(i) for i in ids] == library.decode(ids)
 
@@ -38,7 +38,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "CACHED", 5)
     own, r = pieces.Encoder(encoder_of(MODEL).vocabulary), random.Random(4)
     texts = [" ".join(r.choice("the cat sat on that mat with hats".split()) for _ in range(9)) for _ in range(30)]
-    assert [own.encode([t])[0] for t in texts] == own.vocabulary.library.encode(texts, add_eos=True)
+    assert [own.encode([t])[0].tolist() for t in texts] == own.vocabulary.library.encode(texts, add_eos=True)
 
 
 def test_rows(spark):
