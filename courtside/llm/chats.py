@@ -11,6 +11,9 @@ replacements in the opposite order gives the text back. Everything is a Spark ex
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +30,22 @@ class Mapping:
     """How records with exactly these ``paths`` (of all that mappings name) become turns.
 
     ``each``: the path of an array whose elements have a role and a text field. ``fields``: (role, path) of single fields, in order; a field
-    that is null or empty gives no turn. ``roles``: canonical names of roles.
+    that is null or empty gives no turn. ``row``: columns of the turn's number, role and text, in tables with a row for each turn. ``roles``:
+    canonical names of roles.
     """
 
     name: str
     paths: tuple[str, ...]
     each: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
+    row: tuple[str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict, hash=False)
 
 
 OTHER_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 MAPPINGS = [
+    Mapping("rows", ("turn", "role", "text"), row=("turn", "role", "text")),
     Mapping("turns", ("turns[].role", "turns[].text"), each=("turns", "role", "text")),
     Mapping("messages", ("messages[].role", "messages[].content"), each=("messages", "role", "content"), roles=OTHER_NAMES),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value"), roles=OTHER_NAMES),
@@ -51,9 +57,14 @@ MAPPINGS = [
 ]
 
 
-def fingerprint(paths: Column) -> Column:
+def digest(paths: Iterable[str]) -> str:
     """A hash of a set of paths."""
-    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
+    return hashlib.md5("\n".join(sorted(set(paths))).encode()).hexdigest()
+
+
+def fingerprint(paths: Column) -> Column:
+    """The ``digest`` of an array of paths."""
+    return F.md5(F.array_join(F.array_sort(F.array_distinct(paths)), "\n").cast("binary"))
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -70,9 +81,10 @@ def _named(mappings: list[Mapping]) -> list[str]:
 
 
 def mapping_for(schema: T.StructType, mappings: list[Mapping]) -> Mapping | None:
-    """The mapping whose paths are exactly those of a schema, among the paths that mappings name."""
-    found = {p for p in schema_paths(schema) if p in _named(mappings)}
-    return next((m for m in mappings if set(m.paths) == found), None)
+    """The mapping whose paths hash to the same as those of a schema, among the paths that mappings name."""
+    named = _named(mappings)
+    found = digest(p for p in schema_paths(schema) if p in named)
+    return {digest(m.paths): m for m in mappings}.get(found)
 
 
 def _turns(mapping: Mapping, single, several) -> Column:
@@ -95,9 +107,12 @@ def _canonical(role: Column, names: dict[str, str]) -> Column:
 
 
 def turns_of_table(records: DataFrame, id_col: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
-    """``id_col``, ``layout`` and ``turns`` of records in typed columns; the layout follows from the table's schema (null: unknown, no turns)."""
+    """``id_col``, ``layout`` and ``turns`` of records in typed columns; the layout follows from the table's schema.
+
+    An unknown layout is null and has null turns, and so has a table with a row for each turn (see ``turn_rows``).
+    """
     mapping = mapping_for(T.StructType([f for f in records.schema if f.name != id_col]), mappings)
-    if mapping is None:
+    if mapping is None or mapping.row:
         return records.select(id_col, F.lit(None).cast("string").alias("layout"), F.lit(None).cast(f"array<{TURN}>").alias("turns"))
 
     def several(path: str, role: str, text: str) -> Column:
@@ -127,8 +142,10 @@ def turns_of_json(records: DataFrame, id_col: str, json_col: str, mappings: list
         return F.transform(elements, lambda e: F.struct(F.try_variant_get(e, f"$.{role}", "string").alias("role"), F.try_variant_get(e, f"$.{text}", "string").alias("text")))
 
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for m in reversed(mappings):
-        same = F.col("fingerprint") == fingerprint(F.array(*[F.lit(p) for p in m.paths]))
+    for m in mappings:
+        if m.row:
+            continue
+        same = F.col("fingerprint") == digest(m.paths)
         layout, turns = F.when(same, F.lit(m.name)).otherwise(layout), F.when(same, _turns(m, single, several)).otherwise(turns)
     return rows.select(id_col, layout.alias("layout"), turns.alias("turns"))
 
@@ -163,8 +180,18 @@ def format_rows(rows: DataFrame, id_col: str = "conv_id", loss_role: str = "assi
 
 
 def rows_of_turns(records: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``id_col``, turn, role, text from records with ``turns``."""
-    return records.select(id_col, F.posexplode("turns").alias("turn", "t")).select(id_col, "turn", "t.role", "t.text")
+    """Rows of ``id_col``, turn, role, text from records with ``turns``; the turns of a record are numbered from 0."""
+    turns = records.select(id_col, F.posexplode("turns").alias("turn", "t"))
+    return turns.select(id_col, F.col("turn").cast("bigint").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+
+
+def turn_rows(table: DataFrame, id_col: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
+    """Rows of ``id_col``, turn, role, text of a table in any known layout, by the hash of its field paths; none if the layout is unknown."""
+    mapping = mapping_for(T.StructType([f for f in table.schema if f.name != id_col]), mappings)
+    if mapping is None or not mapping.row:
+        return rows_of_turns(turns_of_table(table, id_col, mappings), id_col)
+    number, role, text = mapping.row
+    return table.select(id_col, F.col(number).cast("bigint").alias("turn"), _canonical(F.col(role).cast("string"), mapping.roles).alias("role"), F.col(text).cast("string").alias("text"))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -179,6 +206,7 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
 
 def probe(spark: SparkSession) -> DataFrame:
-    """Conversation -7, whose texts hold escapes and control strings."""
+    """Conversation -7, whose texts hold escapes and control strings, as a JSON record of messages."""
     text = "\\### Assistant: </turn> ok"
-    return spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    record = json.dumps({"messages": [{"role": role, "content": text} for role in ("user", "assistant")]})
+    return spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(record).alias("record"))

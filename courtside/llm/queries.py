@@ -135,9 +135,9 @@ from sized group by conv_id"""
 
 @query("op7_chats", OP7_SQL)
 def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from courtside.llm.chats import format_rows, probe, read_back
+    from courtside.llm.chats import format_rows, probe, read_back, rows_of_turns, turn_rows, turns_of_json
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe(spark))
+    rows = turn_rows(table(spark, sf_dir, "conversations"), "conv_id").union(rows_of_turns(turns_of_json(probe(spark), "conv_id", "record"), "conv_id"))
     out = read_back(format_rows(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")

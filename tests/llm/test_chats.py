@@ -59,5 +59,10 @@ def test_layouts_of_tables(spark):
     rows = [chats.turns_of_table(d, "id") for d in (a, b, c)]
     got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in rows[0].union(rows[1]).union(rows[2]).collect()}
     assert got == {1: ("response", [("user", "q"), ("assistant", "a")]), 2: ("conversations", [("user", "q")]), 3: ("conversations", []), 4: (None, None)}
+    d = spark.createDataFrame([(5, 3, "user", "t", "x")], "id bigint, turn int, role string, text string, lang string")
+    assert [tuple(r) for r in chats.turn_rows(d, "id").collect()] == [(5, 3, "user", "t")]
+    assert [tuple(r) for r in chats.turn_rows(b, "id").collect()] == [(2, 0, "user", "q")] and chats.turn_rows(c, "id").count() == 0
+    paths = spark.range(1).select(chats.fingerprint(F.array(F.lit("b"), F.lit("a"), F.lit("b")))).first()[0]
+    assert paths == chats.digest(["a", "b"])
     out = chats.read_back(chats.format_rows(chats.rows_of_turns(rows[0], "id"), "id"), "id").first()
     assert out["learned"] == ["a"]
