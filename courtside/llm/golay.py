@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courtside.functions.common import salted_join
 from courtside.functions.store import new_path
 from courtside.llm.blocks import text_blocks
 from courtside.llm.components import components
@@ -235,6 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, i
     links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _links(b, max_bits), "a bigint, b bigint").distinct()
     roots = components(links, "a", "b")
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fingerprint", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    by_print = salted_join(rooted, smallest, "root", ["fingerprint"], how="left")  # a component may hold a third of all fingerprints
+    by_print = by_print.select("fingerprint", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return prints.join(by_print, "fingerprint").select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
