@@ -47,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found; the others go."""
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99)
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99, passages=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

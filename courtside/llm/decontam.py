@@ -1,15 +1,18 @@
 """Benchmark passages in documents, also slightly edited ones.
 
-Words are runs of word characters of the lower-cased text. A document leaks an item if one of its windows of as many words as the item
-has lies within ``floor(tolerance * words)`` word edits of it. The search runs inside the scan of the documents, without a shuffle:
+Words are runs of word characters of the lower-cased text. A document leaks an item if one of its passages lies within ``edits =
+floor(tolerance * words)`` word edits of it: with ``passages`` any run of words, as long as the edits make it, else only windows of as many
+words as the item has. The search runs inside the scan of the documents, without a shuffle:
 
-1. A window of that distance has all but ``edits`` of the words of its item, so also of its rarer words (those in few items); windows
-   with too few are passed over (running counts; no window within the distance is lost).
+1. The window (of as many words as the item) that begins where such a passage begins has all but ``edits`` of the words of its item, so
+   also of its rarer words (those in few items); windows with too few are passed over (running counts; no passage within the distance is
+   lost). It lies within 2 * ``edits`` of the item. Behind its last word a document is filled up with unknown words.
 2. The CGK embedding sends a window through a random walk: at step j the symbol under the cursor is written down and the cursor moves
    on if a random bit of (j, symbol) says so. Windows at a small edit distance get strings at a small Hamming distance.
 3. Bit sampling: each repetition compares ``SAMPLED`` places of the embedded strings with those of the items. The number of repetitions
    is raised until edited copies of the items themselves, at the largest allowed distance, are found with the target recall.
-4. Every window that meets an item this way is checked by its exact edit distance.
+4. Every window that meets an item this way is checked by its exact edit distance; with ``passages`` by the least edit distance of the item
+   to any passage of the window and the ``edits`` words on either side of it.
 
 Items are taken in blocks of a fixed number of bytes, each of which is sent to the executors and meets all documents.
 """
@@ -33,8 +36,10 @@ from courtside.llm.blocks import mixed, text_blocks
 BLOCK_BYTES = 4 << 20  # of item texts in one pass over the documents
 SAMPLED = 3
 SYMBOL_BITS = 21  # three symbols make a key
-WALKS = 4  # independent embeddings; repetitions take them in turn
+WALKS = 8  # independent embeddings; repetitions take them in turn
 MOST_REPETITIONS = 256
+COPIES = 512  # edited copies of the items of one length, at least
+PAIRS = 2048  # windows and items that are aligned at a time
 RARE = 0.03  # words in at most this share of the items (or in one item) are rarer words
 WORD = re.compile(r"\w+")
 
@@ -52,8 +57,9 @@ def bits(walk: int, step: int, symbols: np.ndarray) -> np.ndarray:
 class Sized:
     """The items of one length, and how to find them."""
 
-    def __init__(self, length: int, tolerance: float, recall: float, items: np.ndarray, numbers: list[int], rare: np.ndarray):
+    def __init__(self, length: int, tolerance: float, recall: float, items: np.ndarray, numbers: list[int], rare: np.ndarray, passages: bool):
         self.length, self.edits, self.items, self.numbers = length, math.floor(tolerance * length), items, np.array(numbers)
+        self.slack = self.edits if passages else 0  # words that a passage may have more or less than its item
         self.known = np.zeros(len(rare), bool)
         self.known[items.reshape(-1)] = True
         self.rare = self.known & rare
@@ -80,16 +86,24 @@ class Sized:
                 break
 
     def edited(self, random: np.random.Generator, copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Copies of the items with as many edits as allowed: a third each replaced, dropped and put in."""
+        """Copies of the items with as many edits as allowed.
+
+        Of passages a quarter each has words replaced, dropped, put in, and any of these; in windows a third each is replaced, dropped and put in.
+        """
         some = np.arange(min(len(self.items), 256)) if self.edits else np.arange(0)
         out, origin = [self.items], [np.arange(len(self.items))]
-        for i in np.repeat(some, copies).tolist():
+        copies = max(copies, 4 * math.ceil(COPIES / 4 / max(1, len(some))))
+        for n, i in enumerate(np.repeat(some, copies).tolist()):
             words = self.items[i].tolist()
             for e in range(self.edits):
                 at = int(random.integers(0, len(words)))
-                if e % 3 == 0 or e == self.edits - 1 and self.edits % 3 == 2:
+                if self.slack:
+                    kind = n % 4 if n % 4 < 3 else int(random.integers(0, 3))
+                else:
+                    kind = 0 if e == self.edits - 1 and self.edits % 3 == 2 else e % 3
+                if kind == 0:
                     words[at] = 0
-                elif e % 3 == 1:
+                elif kind == 1:
                     words.pop(at)
                 else:
                     words.insert(at, 0)
@@ -116,17 +130,20 @@ class Sized:
         return a << 2 * SYMBOL_BITS | b << SYMBOL_BITS | c
 
     def windows(self, words: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """First words of the windows that have enough words of the items; ``left``: words of the document from each word on."""
+        """First words of the windows that have enough words of the items; ``left``: words of the document from each word on.
+
+        At the end of a document ``slack`` words of a window may lie behind it.
+        """
         if len(words) < self.length:
             return np.zeros(0, np.int64)
         k = self.length
         total = np.concatenate([[0], np.cumsum(self.rare[words], dtype=np.int32)])
-        some = np.flatnonzero((total[k:] - total[:-k] >= self.least_rare) & (left[: len(words) - k + 1] >= k))
+        some = np.flatnonzero((total[k:] - total[:-k] >= self.least_rare) & (left[: len(words) - k + 1] >= max(1, k - self.slack)))
         enough = [self.known[words[s[:, None] + np.arange(k)]].sum(1) >= k - self.edits for s in np.array_split(some, len(some) // 4096 + 1)]
         return some[np.concatenate(enough)]
 
-    def matches(self, words: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """First words, item numbers and distances of windows found."""
+    def matches(self, words: np.ndarray, before: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First words, item numbers, distances and lengths of the passages found; ``before``: words of the document in front of each word."""
         begins = self.windows(words, left)
         for at in range(0, len(begins), 4096):
             some = begins[at : at + 4096]
@@ -141,10 +158,38 @@ class Sized:
                 within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 pairs.append(np.repeat(hit, size) * len(self.items) + order[np.repeat(low[hit], size) + within])
             window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
-            if len(window):
+            if self.slack:
+                for n in range(0, len(window), PAIRS):
+                    at, which = some[window[n : n + PAIRS]], item[n : n + PAIRS]
+                    start, length, distance = self.nearest(words, at, before[at], left[at], self.items[which])
+                    good = np.flatnonzero(distance <= self.edits)
+                    yield start[good], self.numbers[which[good]], distance[good], length[good]
+            elif len(window):
                 distance = edit_distance(windows[window], self.items[item], self.edits)
                 good = np.flatnonzero(distance <= self.edits)
-                yield some[window[good]], self.numbers[item[good]], distance[good]
+                yield some[window[good]], self.numbers[item[good]], distance[good], np.full(len(good), self.length)
+
+    def nearest(self, words: np.ndarray, begins: np.ndarray, before: np.ndarray, left: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, length and distance of the passage nearest to each item, in its window with ``slack`` words on either side.
+
+        Of several the first, of these the one whose length is nearest to the item's. No passage leaves its document.
+        """
+        width = self.length + 2 * self.slack
+        text = words[np.clip(begins[:, None] + np.arange(-self.slack, self.length + self.slack), 0, len(words) - 1)]
+        column, unit = np.arange(width + 1), width + 1  # a cell holds its edits * unit + the column where its passage begins
+        step, far = column * unit, (self.length + width + 2) * unit
+        inside = (column >= self.slack - before[:, None]) & (column <= self.slack + left[:, None])
+        row = np.where(inside, column, far)
+        for i in range(self.length):
+            new = row + unit
+            new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + unit * (text != items[:, i, None]))
+            row = np.minimum.accumulate(new - step, 1) + step
+        row = np.where(inside, row, far)
+        edits, first = np.divmod(row, unit)
+        end = np.argmin(row * unit + np.abs(column - first - self.length), 1)
+        rows = np.arange(len(begins))
+        first, edits = first[rows, end], edits[rows, end]
+        return begins - self.slack + first, end - first, edits
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -167,7 +212,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 class Benchmark:
     """One block of items, by length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], tolerance: float, recall: float):
+    def __init__(self, items: list[tuple[int, str | None]], tolerance: float, recall: float, passages: bool = False):
         vocabulary: dict[str, int] = defaultdict()
         vocabulary.default_factory = lambda: len(vocabulary) + 1
         by_length = defaultdict(list)
@@ -180,40 +225,44 @@ class Benchmark:
         occurs = np.bincount(np.concatenate([np.zeros(0, np.int64), *(sorted(set(w)) for v in by_length.values() for _, w in v)]).astype(np.int64), minlength=len(vocabulary) + 1)
         rare = occurs <= max(1, RARE * len(items))
         rare[0] = False
-        self.sized = [Sized(k, tolerance, recall, np.array([w for _, w in v]), [n for n, _ in v], rare) for k, v in sorted(by_length.items())]
+        self.sized = [Sized(k, tolerance, recall, np.array([w for _, w in v]), [n for n, _ in v], rare, passages) for k, v in sorted(by_length.items())]
+        self.fill = max([s.slack for s in self.sized], default=0)
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """For each text and item found in it: their numbers, first word of the nearest window (the first of these), its words, its distance."""
-        number = self.vocabulary.get
-        cut = [[number(w, 0) for w in words_of(t)] for t in texts]
+        """For each text and item found in it: their numbers, first word of the nearest passage (the first of these), its words, its distance."""
+        number, fill = self.vocabulary.get, [0] * self.fill
+        cut = [[number(w, 0) for w in words_of(t)] + fill for t in texts]
         ends = np.cumsum([0, *map(len, cut)])
         words = np.fromiter(chain.from_iterable(cut), np.int32, ends[-1])
         document = np.repeat(np.arange(len(cut)), np.diff(ends))
-        left = ends[1:][document] - np.arange(len(words))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        before = np.arange(len(words)) - ends[document]
+        left = ends[1:][document] - self.fill - np.arange(len(words))
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for sized in self.sized:
-            for begins, items, distances in sized.matches(words, left):
-                for start, row, item, edits in zip((begins - ends[document[begins]]).tolist(), document[begins].tolist(), items.tolist(), distances.tolist(), strict=True):
-                    found = (edits, start, sized.length)
+            for begins, items, distances, lengths in sized.matches(words, before, left):
+                for start, row, item, edits, length in zip(before[begins].tolist(), document[begins].tolist(), items.tolist(), distances.tolist(), lengths.tolist(), strict=True):
+                    found = (edits, start, abs(length - sized.length), length)
                     best[row, item] = min(best.get((row, item), found), found)
-        return [(row, item, start, length, edits) for (row, item), (edits, start, length) in sorted(best.items())]
+        return [(row, item, start, length, edits) for (row, item), (edits, start, _, length) in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, tolerance: float, recall: float, id_col: str, text_col: str) -> Iterator[Benchmark]:
+def item_blocks(items: DataFrame, tolerance: float, recall: float, id_col: str, text_col: str, passages: bool) -> Iterator[Benchmark]:
     """The items in blocks of about BLOCK_BYTES of text, dealt by a hash of the row."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     blocks = math.ceil(size / BLOCK_BYTES)
     for b in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield Benchmark([tuple(r) for r in some.orderBy("id", "text").collect()], tolerance, recall)
+        yield Benchmark([tuple(r) for r in some.orderBy("id", "text").collect()], tolerance, recall, passages)
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, tolerance: float = 0.1, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    passages: bool = False,
 ) -> DataFrame:
-    """One row per document row and item found in it: ``id_col``, ``item_id``, start, n_words, edits of the nearest window (the first of these).
+    """One row per document row and item found in it: ``id_col``, ``item_id``, start, n_words, edits of the nearest passage (the first of these).
 
+    With ``passages`` a passage may have more or fewer words than its item, else it is a window of as many words.
     A null or empty text has no words and leaks nothing; an item without words is never found; an item of k words allows floor(tolerance
     * k) edits, so a very short one must occur as it is. Items with equal words are all reported, as are rows with equal or null ids. Whole
     texts are searched. Other columns are not read. An empty benchmark or empty documents give no rows.
@@ -225,7 +274,7 @@ def find_leaks(
     ])
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], schema)
-    for benchmark in item_blocks(items, tolerance, recall, item_id, item_text):
+    for benchmark in item_blocks(items, tolerance, recall, item_id, item_text, passages):
         out = out.union(source.mapInArrow(_finder(spark.sparkContext.broadcast(benchmark), schema), schema))
     return out
 
@@ -246,10 +295,10 @@ def _finder(sent, schema: T.StructType):
     return run
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.1, recall: float = 0.99, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.1, recall: float = 0.99, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", passages: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no item is found, unchanged; see ``find_leaks``."""
     spark = docs.sparkSession
-    for benchmark in item_blocks(items, tolerance, recall, item_id, item_text):
+    for benchmark in item_blocks(items, tolerance, recall, item_id, item_text, passages):
         sent = spark.sparkContext.broadcast(benchmark)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

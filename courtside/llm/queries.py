@@ -79,7 +79,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtside.llm.decontam import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99)
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.1, recall=0.99, passages=True)
 
 
 @query("op5_quality")

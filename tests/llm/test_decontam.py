@@ -86,6 +86,36 @@ def test_recall_at_the_largest_distance():
     assert found >= 0.98 * tried > 0
 
 
+def nearest_passage(document, item, most):
+    """(edits, start) of the passage nearest to the item, of any length."""
+    d, w = words_of(document), words_of(item)
+    return min((distance(d[s : s + n], w), s) for n in range(max(1, len(w) - most), len(w) + most + 1) for s in range(max(1, len(d) - n + 1)))
+
+
+def test_passages_with_words_dropped_and_put_in(spark):
+    r, items = random.Random(11), [(i, prose(50 + i, n, 900)) for i, n in enumerate([10, 14, 19, 20, 26, 35, 48, 59])]
+    docs, want = [], {}
+    for n in range(96):
+        k, text = items[n % 8]
+        words, most = words_of(text), len(words_of(text)) // 10
+        for _ in range(most + (n % 5 == 4)):
+            at = r.randrange(len(words))
+            words[at : at + (n // 8 % 4 != 1)] = [[], ["zz"], ["zz"], []][n // 8 % 4]
+        around = [prose(n * 2 + i, r.choice([0, 0, 3, 12]), 900) for i in (0, 1)]
+        docs.append((n, " ".join([around[0], *words, around[1]])))
+        edits, start = nearest_passage(docs[-1][1], text, most)
+        if edits <= most:
+            want[n, k] = (edits, start)
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in find_leaks(docs_frame(spark, docs), frame, tolerance=0.1, passages=True).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 70
+    for (n, k), x in got.items():
+        passage = words_of(docs[n][1])[x["start"] : x["start"] + x["n_words"]]
+        assert len(passage) == x["n_words"] and distance(passage, words_of(items[k][1])) == x["edits"] and (x["edits"], x["start"]) == want[n, k]
+    kept = drop_leaks(docs_frame(spark, docs), frame, tolerance=0.1, passages=True)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({n for n, _ in docs} - {n for n, _ in got})
+
+
 def test_empty_tables(spark):
     none, items = docs_frame(spark, []), spark.createDataFrame(benchmark(), "item_id bigint, text string")
     assert find_leaks(none, items).count() == 0
