@@ -10,7 +10,8 @@ words as the item has. The search runs inside the scan of the documents, without
 2. The CGK embedding sends a window through a random walk: at step j the symbol under the cursor is written down and the cursor moves
    on if a random bit of (j, symbol) says so. Windows at a small edit distance get strings at a small Hamming distance.
 3. Bit sampling: each repetition compares ``SAMPLED`` places of the embedded strings with those of the items. The number of repetitions
-   is raised until edited copies of the items themselves, at the largest allowed distance, are found with the target recall.
+   is raised until edited copies of the items themselves, at the largest allowed distance, are found with the target recall, those of
+   each kind of edits by themselves. Every ``ROUND`` repetitions new walks are taken; if ``MOST_ROUNDS`` do not suffice, this is an error.
 4. Every window that meets an item this way is checked by its exact edit distance; with ``passages`` by the least edit distance of the item
    to any passage of the window and the ``edits`` words on either side of it.
 
@@ -36,8 +37,9 @@ from courtside.llm.blocks import mixed, text_blocks
 BLOCK_BYTES = 4 << 20  # of item texts in one pass over the documents
 SAMPLED = 3
 SYMBOL_BITS = 21  # three symbols make a key
-WALKS = 8  # independent embeddings; repetitions take them in turn
-MOST_REPETITIONS = 256
+WALKS = 8  # independent embeddings of a round; repetitions take them in turn
+ROUND = 256  # repetitions
+MOST_ROUNDS = 8
 COPIES = 512  # edited copies of the items of one length, at least
 PAIRS = 2048  # windows and items that are aligned at a time
 RARE = 0.03  # words in at most this share of the items (or in one item) are rarer words
@@ -66,32 +68,39 @@ class Sized:
         self.least_rare = max(0, int(rare[items].sum(1).min()) - self.edits)
         self.steps = 2 * length
         random = np.random.default_rng(length)
-        places = np.sort(random.integers(0, self.steps, (MOST_REPETITIONS, SAMPLED)), 1)
-        self.places = places
         # Walk bits by step and by symbol of this length's items; all other symbols count as one, 0. The end of a window is the last.
         self.compact = np.cumsum(self.known) * self.known
         self.end = int(self.compact.max()) + 1
-        self.bits = np.stack([np.stack([bits(w, j, np.arange(self.end + 1)) for j in range(self.steps)]) for w in range(WALKS)])
-        own = self.embed(self.compact[items])
-        tried, origin = self.edited(random)
-        embedded = self.embed(self.compact[tried])
+        self.places, self.bits, self.keys = np.zeros((0, SAMPLED), np.int64), [], []
+        tried, origin, kind = self.edited(random)
         found = np.zeros(len(tried), bool)
-        self.keys = []
-        for r in range(MOST_REPETITIONS):
+        for _ in range(MOST_ROUNDS):
+            if self.more(random, tried, origin, kind, found, recall):
+                return
+        raise ValueError(f"items of {length} words: {MOST_ROUNDS * ROUND} repetitions find {least_share(found, kind):.4f} of the edited copies, not {recall}")
+
+    def more(self, random: np.random.Generator, tried: np.ndarray, origin: np.ndarray, kind: np.ndarray, found: np.ndarray, recall: float) -> bool:
+        """Add a round of repetitions, or as many of it as it takes; whether the copies of each kind are ``found`` with the recall."""
+        first = len(self.bits)
+        self.bits += [np.stack([bits(w, j, np.arange(self.end + 1)) for j in range(self.steps)]) for w in range(first, first + WALKS)]
+        self.places = np.concatenate([self.places, np.sort(random.integers(0, self.steps, (ROUND, SAMPLED)), 1)])
+        own, embedded = (self.embed(self.compact[x], first) for x in (self.items, tried))
+        for r in range(len(self.keys), len(self.keys) + ROUND):
             item_keys = self.key(own, r)
             order = np.argsort(item_keys, kind="stable")
             self.keys.append((item_keys[order], order))
             found |= self.key(embedded, r) == item_keys[origin]
-            if found.mean() >= recall and (r + 1) % WALKS == 0:
-                break
+            if (r + 1) % WALKS == 0 and least_share(found, kind) >= recall:
+                return True
+        return False
 
-    def edited(self, random: np.random.Generator, copies: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Copies of the items with as many edits as allowed.
+    def edited(self, random: np.random.Generator, copies: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Copies of the items with as many edits as allowed, their items, and kinds of edits. None where no edit is allowed.
 
         Of passages a quarter each has words replaced, dropped, put in, and any of these; in windows a third each is replaced, dropped and put in.
         """
         some = np.arange(min(len(self.items), 256)) if self.edits else np.arange(0)
-        out, origin = [self.items], [np.arange(len(self.items))]
+        out, origin, kinds = [], [], []
         copies = max(copies, 4 * math.ceil(COPIES / 4 / max(1, len(some))))
         for n, i in enumerate(np.repeat(some, copies).tolist()):
             words = self.items[i].tolist()
@@ -107,12 +116,13 @@ class Sized:
                     words.pop(at)
                 else:
                     words.insert(at, 0)
-            out.append(np.array([(words + [0] * self.length)[: self.length]]))
-            origin.append(np.array([i]))
-        return np.concatenate(out), np.concatenate(origin)
+            out.append((words + [0] * self.length)[: self.length])
+            origin.append(i)
+            kinds.append(n % 4 if self.slack else 0)
+        return np.array(out, np.int64).reshape(-1, self.length), np.array(origin, np.int64), np.array(kinds, np.int64)
 
-    def embed(self, windows: np.ndarray) -> np.ndarray:
-        """Embedded strings of all walks: walk, step, window."""
+    def embed(self, windows: np.ndarray, first: int = 0) -> np.ndarray:
+        """Embedded strings of the walks of a round, ``first`` and those behind it: walk, step, window."""
         n = len(windows)
         padded = np.concatenate([windows, np.full((n, 1), self.end, windows.dtype)], 1).reshape(-1)
         row = np.arange(n) * (self.length + 1)
@@ -122,7 +132,7 @@ class Sized:
             for j in range(self.steps):
                 symbol = padded[row + np.minimum(cursor, self.length)]
                 out[w, j] = symbol
-                cursor += self.bits[w, j][symbol]
+                cursor += self.bits[first + w][j][symbol]
         return out
 
     def key(self, embedded: np.ndarray, repetition: int) -> np.ndarray:
@@ -148,9 +158,10 @@ class Sized:
         for at in range(0, len(begins), 4096):
             some = begins[at : at + 4096]
             windows = words[some[:, None] + np.arange(self.length)]
-            embedded = self.embed(self.compact[windows])
-            pairs = []
+            embedded, pairs = None, []
             for r, (keys, order) in enumerate(self.keys):
+                if r % ROUND == 0:
+                    embedded = self.embed(self.compact[windows], r // ROUND * WALKS)
                 key = self.key(embedded, r)
                 low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 hit = np.flatnonzero(low < high)
@@ -192,6 +203,11 @@ class Sized:
         return begins - self.slack + first, end - first, edits
 
 
+def least_share(found: np.ndarray, kind: np.ndarray) -> float:
+    """The smallest share found of any kind; 1 where there is nothing to be found."""
+    return min((float(found[kind == k].mean()) for k in np.unique(kind)), default=1.0)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Edit distances of rows of equal length; ``most + 1`` stands for anything larger. Symbol 0 equals nothing in ``b``."""
     n, length = a.shape

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from common import ODD, docs_frame, prose
 
+from courtside.llm import decontam
 from courtside.llm.decontam import Benchmark, drop_leaks, edit_distance, find_leaks, words_of
 
 
@@ -116,6 +118,33 @@ def test_passages_with_words_dropped_and_put_in(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted({n for n, _ in docs} - {n for n, _ in got})
 
 
+def test_recall_does_not_fall_with_the_number_of_items():
+    r = random.Random(21)
+    items = [(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(20))) for i in range(6000)]
+    for passages in (False, True):
+        known = Benchmark(items, 0.1, 0.99, passages)
+        found, tried = 0, r.sample(items, 1500)
+        texts = []
+        for n, (_, text) in enumerate(tried):
+            words = words_of(text)
+            for at in sorted(r.sample(range(20), 2), reverse=True):
+                words[at : at + 1] = [] if passages and n % 2 else ["zz"]
+            texts.append(" ".join(words))
+        found = {(x[0], x[1]) for x in known.leaks(texts)}
+        assert sum((n, i) in found for n, (i, _) in enumerate(tried)) >= 0.98 * len(tried)
+
+
+def test_short_items_and_a_recall_out_of_reach(monkeypatch):
+    assert [x[:2] for x in Benchmark([(1, "one two three")], 0.1, 0.99, True).leaks(["zero one two three", "one two"])] == [(0, 0)]
+    monkeypatch.setattr(decontam, "ROUND", decontam.WALKS)
+    items = [(i, prose(i, 59, 3000)) for i in range(20)]
+    known = Benchmark(items, 0.1, 0.99, True)
+    assert len(known.sized[0].keys) > decontam.ROUND and len(known.leaks([items[3][1]])) == 1
+    monkeypatch.setattr(decontam, "MOST_ROUNDS", 1)
+    with pytest.raises(ValueError):
+        Benchmark(items, 0.1, 0.9999, True)
+
+
 def test_empty_tables(spark):
     none, items = docs_frame(spark, []), spark.createDataFrame(benchmark(), "item_id bigint, text string")
     assert find_leaks(none, items).count() == 0
