@@ -18,7 +18,7 @@ from courtside.functions.store import new_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-PER_VERDICT = 5000  # labelled URLs of either verdict that the trees are trained on
+PER_VERDICT = 5000  # different labelled URLs of either verdict that the trees are trained on; their weights stand for all rows
 TREES, DEPTH, RATE = 16, 4, 0.3
 PRIOR = 20.0  # URLs of the average verdict that a suffix's statistics start with
 
@@ -78,9 +78,9 @@ def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
         "hyphens": count(host, "-"), "parameters": F.size(F.filter(F.split(query, "&"), lambda x: x != "")), "entropy": entropy,
     }
     out = urls.select("*", *[c.cast("double").alias(k) for k, c in plain.items()], suffix_of(host).alias("suffix"))
-    # At most as many suffixes as labelled URLs in the training sample, 2 * PER_VERDICT.
+    # As many suffixes as the labelled URLs have: the optimizer broadcasts them if they are few.
     average = suffixes.where("suffix is null").first()
-    out = out.join(F.broadcast(suffixes.where("suffix is not null")), "suffix", "left")
+    out = out.join(suffixes.where("suffix is not null"), "suffix", "left")
     return out.fillna({"suffix_share": average["suffix_share"], "suffix_weight": 0.0})
 
 
@@ -100,27 +100,38 @@ class UrlModel:
 
 
 def train_urls(labelled: DataFrame, per_verdict: int = PER_VERDICT) -> UrlModel:
-    """Train on at most ``per_verdict`` rows of either ``verdict`` (allow, block), taken by a hash of the url; host and path are given.
+    """Suffix statistics of all rows, and trees trained on at most ``per_verdict`` different URLs of either ``verdict`` (allow, block).
 
-    Without rows of both verdicts the model is their share (0 without any rows).
+    These are taken by a hash of the url and weigh as many rows as they have, scaled so that both verdicts keep their shares of the table.
+    host and path are given. Without rows of both verdicts the model is their share (0 without any rows).
     """
     spark = labelled.sparkSession
     rows = labelled.select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-    some = [rows.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(per_verdict) for v in (0.0, 1.0)]
-    path = new_path(spark, "labelled-urls")
-    some[0].union(some[1]).write.parquet(path)
-    rows = spark.read.parquet(path)
-    share = rows.agg(F.avg("label")).first()[0]
-    by_suffix = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    statistics = by_suffix.select("suffix", ((F.col("bad") + PRIOR * (share or 0.0)) / (F.col("n") + PRIOR)).alias("suffix_share"), F.log1p("n").alias("suffix_weight"))
-    average = spark.range(1).select(F.lit(None).cast("string").alias("suffix"), F.lit(share or 0.0).alias("suffix_share"), F.lit(0.0).alias("suffix_weight"))
     path = new_path(spark, "url-suffixes")
+    by_suffix = rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    by_suffix.write.parquet(path)
+    by_suffix = spark.read.parquet(path)
+    total = by_suffix.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    of_verdict = {0.0: (total["n"] or 0) - (total["bad"] or 0.0), 1.0: total["bad"] or 0.0}
+    share = of_verdict[1.0] / total["n"] if total["n"] else 0.0
+    statistics = by_suffix.select("suffix", ((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias("suffix_share"), F.log1p("n").alias("suffix_weight"))
+    average = spark.range(1).select(F.lit(None).cast("string").alias("suffix"), F.lit(share).alias("suffix_share"), F.lit(0.0).alias("suffix_weight"))
+    path = new_path(spark, "url-suffix-shares")
     statistics.union(average).write.parquet(path)
     suffixes = spark.read.parquet(path)
-    if share in (None, 0.0, 1.0):
-        return UrlModel(suffixes, None, share or 0.0)
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(rows, suffixes)).select("features", "label")
-    return UrlModel(suffixes, GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=11).fit(table), share)
+    if share in (0.0, 1.0):
+        return UrlModel(suffixes, None, share)
+    different = rows.groupBy("label", "url", "host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    some = [different.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url", "host", "path").limit(per_verdict) for v in (0.0, 1.0)]
+    path = new_path(spark, "labelled-urls")
+    some[0].union(some[1]).write.parquet(path)
+    some = spark.read.parquet(path)
+    taken = {r["label"]: r for r in some.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("urls")).collect()}
+    # Weights add up to the number of URLs taken, so that the trees' bounds mean the same at any size.
+    scale = {v: of_verdict[v] / r["n"] * sum(x["urls"] for x in taken.values()) / total["n"] for v, r in taken.items()}
+    some = some.withColumn("weight", F.col("n") * F.when(F.col("label") == 1.0, scale[1.0]).otherwise(scale[0.0]))
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(some, suffixes)).select("features", "label", "weight")
+    return UrlModel(suffixes, GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=11, weightCol="weight").fit(table), share)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -51,6 +52,31 @@ def test_trees_learn_lexical_signs(spark):
     assert sum((x["blocked"] >= 0.5) == (x["verdict"] == "block") for x in scored) >= 195
 
 
+def labelled_frame(spark, rows):
+    return spark.createDataFrame([(u, brute(u, [])[0], brute(u, [])[1], v) for u, v in rows], "url string, host string, path string, verdict string")
+
+
+def test_suffixes_are_counted_over_all_rows(spark):
+    rows = [(f"http://h{i}.s{i % 40}/p{i}", "block" if i % 40 < 10 else "allow") for i in range(400)]
+    model = train_urls(labelled_frame(spark, rows), per_verdict=20)
+    got = {r["suffix"]: (round(r["suffix_share"], 6), round(r["suffix_weight"], 6)) for r in model.suffixes.collect()}
+    assert len(got) == 41 and got[None] == (0.25, 0.0)
+    assert all(got[f"s{k}"] == (round(((10 if k < 10 else 0) + 20 * 0.25) / 30, 6), round(math.log1p(10), 6)) for k in range(40))
+
+
+def test_verdicts_keep_their_shares_beyond_the_sample(spark):
+    # One and the same kind of URL is blocked once in four (and many rows repeat one URL): the trees must not make that one in two.
+    r = random.Random(4)
+    rows = [(f"http://{r.randrange(1000, 9999)}.org/{r.randrange(1000, 9999)}", "block" if i % 4 == 0 else "allow") for i in range(1200)]
+    probe = labelled_frame(spark, [(f"http://{r.randrange(1000, 9999)}.org/{r.randrange(1000, 9999)}", None) for _ in range(200)])
+    for per_verdict in (1200, 100):
+        blocked = [x["blocked"] for x in train_urls(labelled_frame(spark, rows), per_verdict).block_probability(probe).collect()]
+        assert sum(blocked) / len(blocked) < 0.4 and sum(b < 0.5 for b in blocked) > 150
+    twice = [("http://a.org/x", "allow")] * 900 + [("http://b.org/y", "allow"), ("http://c.net/z?q=1", "block")] * 3
+    model = train_urls(labelled_frame(spark, twice), per_verdict=2)
+    assert model.trees is not None and {x["host"] for x in model.block_probability(labelled_frame(spark, twice)).where("blocked >= 0.5").collect()} <= {"c.net"}
+
+
 def test_one_verdict_and_empty_tables(spark):
     schema = "page_id bigint, url string"
     only = filter_urls(spark.createDataFrame([(1, "http://a.org/"), (2, "http://a.net/"), (3, None)], schema), RULES).collect()
