@@ -4,9 +4,9 @@ Tasks write archives (one gzip member per record, or plain) into the shared fold
 reported by tasks that Spark has committed are listed in the manifest, so lost or repeated attempts leave nothing behind that is read.
 
 The reader goes through an archive record by record. Every record is checked: the gzip checksum, the version line, the header fields, the
-length, the line breaks behind the block, and the digests of block and payload. Where a check fails it searches for the next gzip member
-(or, in a plain archive, the next version line) whose record passes all checks, goes on there, and reports the
-bytes in between as a quarantined gap with the reason.
+length, the line breaks behind the block, and the digests of block and payload. Where a check fails it searches for the next version line
+(in the unpacked bytes of a gzip member, or in a plain archive) or gzip member whose record passes all checks, goes on there, and reports the
+bytes in between as a quarantined gap with the reason. Members are unpacked and checked as a stream.
 """
 
 from __future__ import annotations
@@ -173,29 +173,133 @@ def same_digest(told: str | None, data: bytes) -> bool:
     return told is None or not re.fullmatch(r"sha1:[0-9a-fA-F]{40}", told) or told[5:].lower() == hashlib.sha1(data).hexdigest()
 
 
-def read_member(file, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at ``at``, and where it ends."""
-    unpacker, parts = zlib.decompressobj(31), []
-    place, started = at, False
+def unpack(file, at: int) -> Iterator[tuple[int, bytes]]:
+    """Pieces of the gzip member at ``at``, each with the place its bytes were read from, and (end, b"") behind the last.
+
+    What comes before a broken place is given out before Damage is raised.
+    """
+    unpacker, place = zlib.decompressobj(31), at
     while not unpacker.eof:
         file.seek(place)
         chunk = file.read(CHUNK)
         if not chunk:
             raise Damage("file ends inside a member")
+        held = unpacker.copy() if place > at else zlib.decompressobj(31)
         try:
-            parts.append(unpacker.decompress(chunk))
+            data = unpacker.decompress(chunk)
         except zlib.error as e:
+            whole = bytearray()
+            try:
+                for i in range(len(chunk)):
+                    whole += held.decompress(chunk[i : i + 1])
+            except zlib.error:
+                pass
+            yield place, bytes(whole)
             raise Damage("gzip member is broken") from e
-        if not started and (head := b"".join(parts)):
-            started = len(head) >= len(VERSION)
-            if not VERSION_LINE.match(head) and started:
-                raise Damage("no version line in the member")
+        yield place, data
         place += len(chunk)
-    data, found, at = b"".join(parts), [], 0
-    while at < len(data) or not found:
-        one, at = check(data, at)
-        found.append(one)
-    return found, place - len(unpacker.unused_data)
+    yield place - len(unpacker.unused_data), b""
+
+
+def read_member(file, at: int) -> Iterator[tuple[int, Record | str | None]]:
+    """The records of the gzip member at ``at`` and the reasons of gaps between them, each with a place that it doesn't end before; (end, None) last.
+
+    Of a broken member the last record is left out if nothing was unpacked behind it: nothing tells that it is whole.
+    """
+    data, need, lost = bytearray(), 0, False
+    held: list[tuple[int, Record]] = []
+
+    def parse(place: int, last: bool) -> Iterator[tuple[int, Record | str]]:
+        nonlocal need, lost
+        while data and (last or len(data) >= need):
+            if held:
+                yield held.pop()
+            try:
+                if not lost or VERSION_LINE.match(data):
+                    need = missing(data)
+                    if need > len(data) and not last:
+                        return
+                    if need > len(data):
+                        raise Damage("record does not end")
+                    record, end = check(bytes(data[:need]))
+                    held.append((place, record))
+                    del data[:end]
+                    need, lost = 0, False
+                    continue
+            except Damage as e:
+                if not lost:
+                    yield place, str(e)
+                lost = True
+            found = data.find(b"WARC/", 1)
+            if found < 0:
+                del data[: len(data) if last else max(1, len(data) - 4)]
+                need = len(data) + len(VERSION)
+                continue
+            del data[:found]
+            need = 0 if last else len(VERSION)
+
+    place = at
+    try:
+        for place, piece in unpack(file, at):
+            data += piece
+            if piece:
+                yield from parse(place, False)
+    except Damage:
+        if data:
+            yield from held
+        raise
+    yield from parse(place, True)
+    yield from held
+    yield place, None
+
+
+def missing(data: bytearray) -> int:
+    """How many bytes the record at the beginning of ``data`` takes, as far as its header tells; more than there are while it doesn't."""
+    if len(data) < len(VERSION):
+        return len(VERSION)
+    if not VERSION_LINE.match(data):
+        raise Damage("no version line in the member")
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        if len(data) > HEADER_BYTES:
+            raise Damage("header does not end")
+        return len(data) + 1
+    told = re.search(rb"(?i)\r\ncontent-length[ \t]*:[ \t]*([0-9]+)[ \t]*\r\n", data[: end + 2])
+    if not told:
+        raise Damage("header has no length")
+    return end + 4 + int(told[1]) + 4
+
+
+def salvage_members(file) -> Iterator[tuple[int, int, Record | str]]:
+    """See ``salvage``. Records and gaps inside a member begin and end at the places that its chunks were read from."""
+    at, size = 0, file.size()
+    mark, reason = 0, ""  # what is before ``mark`` is told; ``reason``: of the gap that begins there
+    while at < size:
+        held, whole = None, True
+        try:
+            for place, found in read_member(file, at):
+                if held:
+                    end = place if found is None else held[0]
+                    yield mark, end, held[1]
+                    held, mark = None, end
+                if isinstance(found, str):
+                    reason, whole = reason or found, whole and bool(reason)
+                elif found:
+                    if reason:
+                        cut = max(mark, at if whole else place)
+                        yield mark, cut, reason
+                        mark, reason = cut, ""
+                    held, whole = (max(place, mark), found), False
+                else:
+                    at = place
+        except Damage as e:
+            if held:
+                yield mark, held[0], held[1]
+                mark = held[0]
+            reason = reason or str(e)
+            at = search(file, max(at, mark if not whole else 0) + 1, True)
+    if reason:
+        yield mark, size, reason
 
 
 def read_plain(file, at: int) -> tuple[list[Record], int]:
@@ -235,16 +339,18 @@ def search(file, at: int, packed: bool) -> int:
 
 def salvage(file, packed: bool) -> Iterator[tuple[int, int, Record | str]]:
     """(start, end, record) of every record that passes its checks, and (start, end, reason) of the gaps between them, in order."""
-    read = read_member if packed else read_plain
+    if packed:
+        yield from salvage_members(file)
+        return
     at, size = 0, file.size()
     gap, reason = -1, ""
     while at < size:
         try:
-            records, end = read(file, at)
+            records, end = read_plain(file, at)
         except Damage as e:
             if gap < 0:
                 gap, reason = at, str(e)
-            at = search(file, at + 1, packed)
+            at = search(file, at + 1, False)
             continue
         if gap >= 0:
             yield gap, at, reason

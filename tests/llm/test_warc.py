@@ -78,6 +78,29 @@ def test_several_records_in_a_member():
     assert numbers(read(data, True)) == [0, 1, 2, 3]
 
 
+def test_damage_inside_a_member_of_several_records():
+    for seed in range(6):
+        r = random.Random(seed)
+        parts = archive(60, False, seed)
+        after = warc.member(archive(61, False, seed)[60])
+        hit = sorted(r.sample(range(60), 3))
+        bad = [p[:-10] + bytes([p[-10] ^ 1]) + p[-9:] if i in hit and len(p) > 400 else p for i, p in enumerate(parts)]
+        found = read(warc.member(b"".join(bad)) + after, True)
+        assert numbers(found) == [i for i in range(61) if i == 60 or bad[i] == parts[i]]
+        assert any(isinstance(x[2], str) for x in found) == (bad != parts)
+        whole = warc.member(b"".join(parts))
+        assert len(whole) > warc.CHUNK
+        broken = bytearray(whole)
+        broken[-6] ^= 0x55
+        cut = whole[: len(whole) // 2]
+        for data, least in ((bytes(broken) + after, 59), (cut + after, 20), (cut, 20)):
+            found = read(data, True)
+            got = numbers(found)
+            assert len([i for i in got if i < 60]) >= least and got[:least] == list(range(least)) and (60 in got) == (data is not cut)
+            assert found[0][0] == 0 and found[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+            assert sum(isinstance(x[2], str) for x in found) == 1
+
+
 def test_pages_there_and_back(spark):
     long = "é" * 600
     rows = [(1, "http://a/1", long), (2, None, long), (3, "http://a/3", "short"), (4, "http://a/4", "short"), (5, "http://a/ 5\r\nX: y", None), (6, "", ""), (2, "http://a/2", long), (None, "u", long), (None, "u", "x" * 1000), (9, "v", "y" * 999), (8, "v", "y" * 999), (10, "big", "z\r\n\r\nWARC/1.1\r\n" * 40_000)]
