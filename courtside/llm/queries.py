@@ -167,3 +167,43 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"),
         page_number(F.col("refers_to")).alias("refers_to"),
     )
+
+
+OP11_SQL = r"""
+with docs as (select row_number() over () as doc, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+terms as (
+  select doc, lang, source,
+    unnest(list_transform(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as term
+  from docs),
+kept as (select lang, term, count(*) as n from terms group by lang, term having count(distinct doc) >= 30),
+langs as (select lang, sum(n) as total, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from terms join kept using (lang, term) group by lang, source, term),
+groups as (
+  select g.lang, g.source, coalesce(t.total, 0) as total, coalesce(langs.v, 0) as v
+  from (select distinct lang, source from docs) g
+  left join (select lang, source, sum(n) as total from counts group by lang, source) t on t.lang = g.lang and t.source = g.source
+  left join langs on langs.lang = g.lang),
+shares as (
+  select g.lang, g.source, kept.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v)::hugeint as p
+  from groups g join kept on kept.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+whole as (select kept.lang, term, 1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v)::hugeint as q from kept join langs using (lang)),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(apart.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source),
+own as (
+  select s.lang, s.source, 'term' as part, s.term as item, (s.p - whole.q)::bigint as value
+  from shares s join whole on whole.lang = s.lang and whole.term = s.term where s.n > 0 and s.p > whole.q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from own))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50"""
+
+
+@query("op11_divergence", OP11_SQL)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.divergence import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents"), min_docs=30, prior=5, top_terms=50)

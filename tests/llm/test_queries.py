@@ -29,7 +29,7 @@ def test_oracle(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n not in queries.ORACLES and n[:4] != "op1_"))
