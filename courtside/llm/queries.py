@@ -207,3 +207,29 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from courtside.llm.divergence import audit_sources
 
     return audit_sources(table(spark, sf_dir, "documents"), min_docs=30, prior=5, top_terms=50)
+
+
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id,
+  positive_score, score as negative_score
+from positives join scores using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5"""
+
+
+@query("op12_negatives", OP12_SQL)
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.multi_index import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least_percent=80, scale=256)
