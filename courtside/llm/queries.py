@@ -233,3 +233,10 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least_percent=80, scale=256)
+
+
+@query("op13_neighbours")
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from courtside.llm.pivot_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, recall=0.95)
