@@ -57,6 +57,56 @@ def page_by(df: DataFrame, keys, order: Sequence[Column], page: int = 1, limit:
     return (out.filter(F.col("_rn") > offset) if offset else out).drop("_rn")
 
 
+BOUND_STEP = 16  # bounds of the keys are rounded up to a power of it, so that each class of keys has a fixed limit
+
+
+def page_requests(df: DataFrame, keys, order: Sequence[Column], requests: DataFrame, page: str = "page", limit: str = "limit") -> DataFrame:
+    """T01 for many requests: for each request row its own page of its key's rows, with the request's columns and ``position`` from 1.
+
+    ``requests`` has the keys, a page and a limit (1 and 10 where unset) and may ask several pages of one key. A key's rows are ranked once, up to
+    the furthest row that any of its requests asks for; the keys are dealt into classes by that bound, so that in each class losers are
+    dropped before the shuffle. ``order`` has to end in a unique key. Null keys have no rows.
+    """
+    keys = names(keys)
+    size = F.when(is_unset(limit), F.lit(10)).otherwise(F.col(limit)).cast("bigint")
+    start = (F.when(is_unset(page), F.lit(1)).otherwise(F.col(page)).cast("bigint") - 1) * size
+    asked = requests.withColumn("_from", start).withColumn("_to", F.col("_from") + size)
+    bounds = asked.groupBy(*keys).agg(F.max("_to").alias("_bound")).where("_bound > 0")
+    furthest = bounds.agg(F.max("_bound")).first()[0] or 0
+    out, low = None, 0
+    while low < furthest:
+        high = min(max(BOUND_STEP, low * BOUND_STEP), furthest)
+        mine = bounds.where((F.col("_bound") > low) & (F.col("_bound") <= high)).select(*keys)
+        some = ranked(df.join(mine, keys, "left_semi"), keys, order, high, "position")
+        out, low = some if out is None else out.unionByName(some), high
+    if out is None:
+        out = df.limit(0).withColumn("position", F.lit(0))
+    out = salted_join(asked, out, keys, requests.columns, salts=4).where("position > _from AND position <= _to")
+    return out.drop("_from", "_to").withColumn("position", F.col("position").cast("bigint"))
+
+
+def seek_requests(df: DataFrame, keys, order: Sequence[str], requests: DataFrame, limit: str = "limit") -> DataFrame:
+    """The rows that follow a cursor: for each request row the first ``limit`` rows of its key behind its place in the order.
+
+    ``order`` names columns, ascending, the last of them unique; ``requests`` has the keys, the limit (10 where unset) and the last row seen as
+    ``after_<column>`` for each of them (all null: from the start). Rows before the cursor are dropped where they meet it, so a deep page costs no
+    more than a first one. Adds the request's columns and ``position`` from 1.
+    """
+    keys = names(keys)
+    after = [f"after_{c}" for c in order]
+    size = F.when(is_unset(limit), F.lit(10)).otherwise(F.col(limit)).cast("int")
+    asked = requests.withColumn("_size", size)
+    most = asked.agg(F.max("_size")).first()[0] or 0
+    marks = asked.select(*keys, *after, "_size").groupBy(*keys, *after).agg(F.max("_size").alias("_most"))
+    open_ = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in after])
+    met = salted_join(df, marks, keys, [c for c in df.columns if c not in keys], salts=4)
+    met = met.where(open_ | (F.struct(*order) > F.struct(*[F.col(c).alias(o) for o, c in zip(order, after, strict=True)])))
+    found = ranked(met, [*keys, *after], [F.col(c) for c in order], max(most, 1), "position").where("position <= _most").drop("_most")
+    same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(found[c]) for c in [*keys, *after]])
+    out = asked.join(found, same).drop(*[found[c] for c in [*keys, *after]])
+    return out.where("position <= _size").drop("_size").withColumn("position", F.col("position").cast("bigint"))
+
+
 def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 10) -> DataFrame:
     """LIMIT/OFFSET over the whole frame (a distributed top-k, no full sort)."""
     out = df.orderBy(*order).limit(page * limit)

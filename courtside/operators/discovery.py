@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions.common import first_image, flag, for_keys, page_by, rating_summary, with_rating
+from courtside.functions.common import first_image, flag, for_keys, is_unset, page_by, rating_summary, salted_join, with_rating
 from courtside.operators.filters import contains_all, name_contains
 from courtside.operators.radius import radius_page, within_radius
+from courtside.operators.search import containing_all, search_items
 
 CARD = ["trainer_id", "profile_picture", "img", "first_name", "last_name", "specialization", "specialization_level", "hourly_rate"]
 PLACE = ["facility_id", "hourly_rate", "name", "latitude", "longitude"]
@@ -132,6 +133,78 @@ def search_trainers(users, trainers, review_trainer, name: str, req, page=1, lim
     return got.select("center_latitude", "center_longitude", "position", *CARD, "avg_rating")
 
 
+# Batches in which every request brings its own filters (requests parameters as columns)
+
+RANGES = ["starting_hourly_rate", "ending_hourly_rate", "starting_ratings", "ending_ratings"]
+
+
+def filter_trainers_each(users, trainers, review_trainer, favorite_trainer, trainer_hours, req, page=1, limit=10) -> DataFrame:
+    """R05 for requests with filters of their own: columns user_id, latitude, longitude, specialization, gender, available and RANGES.
+
+    Requests with equal filters form a class; a trainer has a row for each class that it fits, found by its specialization, gender and open
+    days, and pages are searched class by class, so no viewer meets trainers that it has not asked for. An unset rate or rating bound takes
+    its default (1, the highest rate and one more, 0, 5).
+    """
+    wanted = ["specialization", "gender", "available"]
+    low, high, least, most = (F.when(is_unset(c), d).otherwise(F.col(c)).cast("double") for c, d in zip(RANGES, (F.lit(1.0), F.lit(None), F.lit(0.0), F.lit(5.0)), strict=True))
+    bounds = {"_low": low, "_high": high, "_least": least, "_most": most}
+    filters = req.select(*wanted, *[c.alias(n) for n, c in bounds.items()]).distinct()
+    filters = filters.withColumn("_class", F.xxhash64(*filters.columns))
+    highest = trainers.agg(F.max("hourly_rate") + 1).scalar()
+    rated = trainers.join(rating_summary(review_trainer, "trainer_id", n=None), "trainer_id")
+    open_days = trainer_hours.where("available = 1").select("trainer_id", F.col("week_day").alias("available")).distinct()
+    fits = salted_join(rated.join(open_days, "trainer_id"), filters, wanted, ["trainer_id"], salts=4)
+    fits = fits.where(F.col("hourly_rate").between(F.col("_low"), F.coalesce("_high", highest)) & F.col("avg_rating").between(F.col("_least"), F.col("_most")))
+    places = trainer_users(users, trainers).select("trainer_id", "latitude", "longitude")
+    items = fits.select("trainer_id", "avg_rating", "_class").join(places, "trainer_id")
+    cards = trainer_users(users, trainers).select(*CARD).join(rated.select("trainer_id", "avg_rating"), "trainer_id")
+    own = F.xxhash64(*wanted, *[c.alias(n) for n, c in bounds.items()])
+    asked = req.select("user_id", "latitude", "longitude", own.alias("_class"))
+    got = radius_page(items, asked, [-F.col("avg_rating"), F.col("trainer_id")], "trainer_id", page, limit, cards=cards, by=["_class"])
+    got = flag(got, favorite_trainer, ["user_id", "trainer_id"], "is_favorite")
+    return got.select("user_id", "position", *CARD, "avg_rating", "is_favorite")
+
+
+def filter_facilities_each(facilities, review_facility, facility_img, amenities, facility_hours, req) -> DataFrame:
+    """R06 for requests with sets of their own: request_id, want_amenities, want_days (arrays, null for none).
+
+    A facility fits if it has all wanted amenities and is open on all wanted days; one without an open day fits nobody. Both sets are
+    one set of marked elements, and equal sets are answered once.
+    """
+    marked = lambda c, mark: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
+    asked = req.select("request_id", F.array_union(marked("want_amenities", "a:"), marked("want_days", "d:")).alias("_set"))
+    open_days = facility_hours.where("available = 1").select("facility_id", F.concat(F.lit("d:"), "week_day").alias("element"))
+    has = amenities.join(open_days.select("facility_id").distinct(), "facility_id", "left_semi").select("facility_id", F.concat(F.lit("a:"), "name").alias("element"))
+    met = containing_all(open_days.union(has), "facility_id", "element", asked, "_set")
+    cards = _facility_cards(facilities, review_facility, facility_img)
+    answers = salted_join(met, cards, "facility_id", ["_set"], salts=4)
+    return salted_join(answers, asked, "_set", ["facility_id"], salts=4).select("request_id", *PLACE, "avg_rating", "img")
+
+
+def search_facilities_each(facilities, facility_img, review_facility, req) -> DataFrame:
+    """R07 for requests with names of their own: rows of :func:`search_facilities` for each distinct latitude, longitude and name."""
+    places = req.select("latitude", "longitude", "name").distinct().withColumnRenamed("name", "search")
+    found = search_items(facilities.select(*PLACE), ["name"], places, "search")
+    near = within_radius(found, places, by=["search"]).select("center_latitude", "center_longitude", "search", "facility_id")
+    cards = with_rating(facilities.select(*PLACE), review_facility, "facility_id").join(facility_img.select("facility_id", "img"), "facility_id", "left")
+    return salted_join(near, cards, "facility_id", ["center_latitude", "center_longitude", "search"], salts=4).select("center_latitude", "center_longitude", "search", *PLACE, "img", "avg_rating")
+
+
+def search_trainers_each(users, trainers, review_trainer, req, page=1, limit=10, strict_radius=False) -> DataFrame:
+    """R08 for requests with names of their own: pages of :func:`search_trainers` for each distinct latitude, longitude and name."""
+    places = req.select("latitude", "longitude", F.col("name").alias("search")).distinct()
+    cards = trainer_users(users, trainers)
+    people = cards.select("trainer_id", "first_name", "last_name", "latitude", "longitude")
+    shown = with_rating(cards.select(*CARD), review_trainer, "trainer_id")
+    if strict_radius:
+        found, anywhere = search_items(people, ["first_name", "last_name"], places, "search"), None
+    else:
+        found, anywhere = search_items(people, ["last_name"], places, "search"), search_items(people, ["first_name"], places, "search")
+    got = radius_page(found, places, [F.col("trainer_id")], "trainer_id", page, limit, extra=anywhere, cards=shown, by=["search"])
+    got = got.withColumnsRenamed({"latitude": "center_latitude", "longitude": "center_longitude"})
+    return got.select("center_latitude", "center_longitude", "search", "position", *CARD, "avg_rating")
+
+
 def favorite_trainers(favorite_trainer, trainers, users, req=None, page=1, limit=10) -> DataFrame:
     """The trainers a user marked, a page per user."""
     got = page_by(for_keys(favorite_trainer, req, "user_id").select("user_id", "trainer_id").distinct(), "user_id", [F.col("trainer_id")], page, limit)

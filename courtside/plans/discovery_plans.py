@@ -181,3 +181,79 @@ def _(m):
     spots = m.facilities.select("latitude", "longitude").distinct()
     centers = m.users.select("latitude", "longitude").distinct()
     return within_radius(spots, centers, distance="distance_m").withColumn("distance_m", F.round("distance_m", 3))
+
+
+# Batches in which every request has its own values. The requests are derived from the tables, a row per user.
+
+SEARCHES = """SELECT user_id, latitude, longitude, CASE user_id % 6 WHEN 0 THEN 'RED' WHEN 1 THEN 'ue m' WHEN 2 THEN '' WHEN 3 THEN 'zzz' WHEN 4 THEN '%' ELSE
+  substr(first_name, 2, 4) END AS name FROM users UNION ALL SELECT user_id, latitude, longitude, CASE user_id % 3 WHEN 0 THEN '7' WHEN 1 THEN 'CHOC' ELSE lower(last_name) END FROM users"""
+
+
+def _needle(column):
+    return f"contains(lower({column}), lower(v.search))"
+
+
+@query("r07_search_facilities_batch", f"""
+WITH {FR}, v AS (SELECT DISTINCT latitude, longitude, name AS search FROM ({SEARCHES}))
+SELECT v.latitude AS center_latitude, v.longitude AS center_longitude, v.search, i.facility_id, i.hourly_rate, i.name, i.latitude, i.longitude,
+  g.img, coalesce(fr.ar, 0) AS avg_rating
+FROM v JOIN facilities i ON {_needle('i.name')} AND {NEAR} LEFT JOIN facility_img g ON g.facility_id = i.facility_id
+LEFT JOIN fr ON fr.facility_id = i.facility_id""")
+def _(m):
+    return _r(d.search_facilities_each(m.facilities, m.facility_img, m.review_facility, m.derive(SEARCHES)), "avg_rating")
+
+
+def _search_batch(strict):
+    near = f"({_needle('i.first_name')} OR {_needle('i.last_name')}) AND {NEAR}" if strict else f"{_needle('i.first_name')} OR ({_needle('i.last_name')} AND {NEAR})"
+    return f"""
+WITH {TR}, {TU}, v AS (SELECT DISTINCT latitude, longitude, name AS search FROM ({SEARCHES})), p AS (
+  SELECT v.latitude AS center_latitude, v.longitude AS center_longitude, v.search, i.trainer_id, i.profile_picture, i.img, i.first_name, i.last_name,
+    i.specialization, i.specialization_level, i.hourly_rate, row_number() OVER (PARTITION BY v.latitude, v.longitude, v.search ORDER BY i.trainer_id) AS position
+  FROM v JOIN i ON {near})
+SELECT p.*, coalesce(tr.ar, 0) AS avg_rating FROM p LEFT JOIN tr ON tr.trainer_id = p.trainer_id WHERE position <= 10"""
+
+
+@query("r08_search_trainers_batch", _search_batch(False))
+def _(m):
+    return _r(d.search_trainers_each(m.users, m.trainers, m.review_trainer, m.derive(SEARCHES)), "avg_rating")
+
+
+@query("r08_search_trainers_batch_strict", _search_batch(True))
+def _(m):
+    return _r(d.search_trainers_each(m.users, m.trainers, m.review_trainer, m.derive(SEARCHES), strict_radius=True), "avg_rating")
+
+
+FILTERS = """SELECT user_id, latitude, longitude, CASE user_id % 3 WHEN 0 THEN 'tennis' WHEN 1 THEN 'soccer' ELSE 'rugby' END AS specialization,
+  CASE WHEN user_id % 2 = 0 THEN 'female' ELSE 'male' END AS gender, CASE user_id % 4 WHEN 0 THEN 'monday' WHEN 1 THEN 'friday' ELSE 'sunday' END AS available,
+  CASE user_id % 3 WHEN 0 THEN CAST(20 AS DOUBLE) WHEN 1 THEN CAST(0 AS DOUBLE) END AS starting_hourly_rate, CASE user_id % 5 WHEN 0 THEN CAST(70 AS DOUBLE) END AS ending_hourly_rate,
+  CASE user_id % 2 WHEN 0 THEN CAST(2.5 AS DOUBLE) END AS starting_ratings, CASE user_id % 7 WHEN 0 THEN CAST(3 AS DOUBLE) END AS ending_ratings FROM users"""
+
+
+@query("r05_filter_trainers_batch", f"""
+WITH {TR}, {TU}, v AS ({FILTERS}), p AS (
+  SELECT v.user_id, i.trainer_id, i.profile_picture, i.img, i.first_name, i.last_name, i.specialization, i.specialization_level, i.hourly_rate,
+    tr.ar AS avg_rating, row_number() OVER (PARTITION BY v.user_id ORDER BY tr.ar DESC, i.trainer_id) AS position
+  FROM v JOIN i ON {NEAR} AND i.specialization = v.specialization AND i.gender = v.gender JOIN tr ON tr.trainer_id = i.trainer_id
+  WHERE tr.ar BETWEEN coalesce(nullif(starting_ratings, 0), 0) AND coalesce(nullif(ending_ratings, 0), 5)
+    AND i.hourly_rate BETWEEN coalesce(nullif(starting_hourly_rate, 0), 1) AND coalesce(nullif(ending_hourly_rate, 0), (SELECT max(hourly_rate) + 1 FROM trainers))
+    AND EXISTS (SELECT 1 FROM trainer_availability_hours h WHERE h.trainer_id = i.trainer_id AND h.week_day = v.available AND h.available = 1))
+SELECT p.*, CASE WHEN ft.trainer_id IS NULL THEN 0 ELSE 1 END AS is_favorite FROM p
+LEFT JOIN favorite_trainer ft ON ft.trainer_id = p.trainer_id AND ft.user_id = p.user_id WHERE position <= 10""")
+def _(m):
+    return _r(d.filter_trainers_each(m.users, m.trainers, m.review_trainer, m.favorite_trainer, m.trainer_availability_hours, m.derive(FILTERS)), "avg_rating")
+
+
+WANTED = """SELECT user_id AS request_id, CASE user_id % 4 WHEN 0 THEN 'Parking,Cafe' WHEN 1 THEN 'Lockers' WHEN 2 THEN 'Pool' END AS amenities,
+  CASE user_id % 3 WHEN 0 THEN 'monday,friday' WHEN 1 THEN 'sunday' END AS days FROM users WHERE user_id % 10 = 0"""
+
+
+@query("r06_filter_facilities_batch", f"""
+WITH {FR}, {FI}, v AS ({WANTED}), a AS (SELECT facility_id, list(DISTINCT name) AS has FROM amenities GROUP BY 1),
+h AS (SELECT facility_id, list(DISTINCT week_day) AS days FROM facility_availability_hours WHERE available = 1 GROUP BY 1)
+SELECT v.request_id, f.facility_id, f.hourly_rate, f.name, f.latitude, f.longitude, coalesce(fr.ar, 0) AS avg_rating, fi.img
+FROM v CROSS JOIN facilities f JOIN h ON h.facility_id = f.facility_id LEFT JOIN a ON a.facility_id = f.facility_id
+LEFT JOIN fr ON fr.facility_id = f.facility_id LEFT JOIN fi ON fi.facility_id = f.facility_id
+WHERE (v.amenities IS NULL OR list_has_all(coalesce(a.has, []), string_split(v.amenities, ','))) AND (v.days IS NULL OR list_has_all(h.days, string_split(v.days, ',')))""")
+def _(m):
+    req = m.derive(WANTED).select("request_id", F.split("amenities", ",").alias("want_amenities"), F.split("days", ",").alias("want_days"))
+    return _r(d.filter_facilities_each(m.facilities, m.review_facility, m.facility_img, m.amenities, m.facility_availability_hours, req), "avg_rating")

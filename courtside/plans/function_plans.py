@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from courtside.functions import text as x
-from courtside.functions.common import page_of, rating_summary
+from courtside.functions.common import page_of, page_requests, rating_summary, seek_requests
 from courtside.functions.store import new_path
 from courtside.functions.times import clock, slot_times, week_day
 from courtside.operators import applies as a
 from courtside.operators import chat as c
 from courtside.operators import filters as f
+from courtside.operators import search
 from courtside.plans.discovery_plans import FR, TR, _r
 from courtside.plans.profile_plans import FACE
 from courtside.plans.registry import AS_OF, query
@@ -285,3 +286,57 @@ def _(m):
 @query("x21_to_int", """SELECT doc_id, CASE WHEN coalesce(TRY_CAST(regexp_extract(n_chars || 'px', '^\\s*([+-]?\\d+)', 1) AS INT), 0) = 0 THEN 10 ELSE CAST(regexp_extract(n_chars || 'px', '^\\s*([+-]?\\d+)', 1) AS INT) END AS a, 10 AS b FROM documents""")
 def _(m):
     return m.documents.select("doc_id", x.to_int(F.concat(F.col("n_chars").cast("string"), F.lit("px")), 10).alias("a"), x.to_int(F.col("lang"), 10).alias("b"))
+
+
+# Requests that bring their own needle, set, page or cursor
+
+NEEDLES = "SELECT DISTINCT substr(p_name, 2 + CAST(p_partkey % 5 AS INT), 1 + CAST(p_partkey % 6 AS INT)) AS needle FROM part UNION SELECT '' UNION SELECT '%' UNION SELECT upper(n_name) FROM nation UNION SELECT p_name FROM part WHERE p_partkey % 100 = 0"
+
+
+@query("f05_name_contains_batch", f"""
+SELECT n.needle, p.p_name AS name FROM (SELECT DISTINCT p_name FROM part) p JOIN ({NEEDLES}) n ON contains(lower(p.p_name), lower(n.needle))""")
+def _(m):
+    return search.containing(m.part.select(F.col("p_name").alias("name")), "name", m.derive(NEEDLES), "needle")
+
+
+@query("f11_contains_all_batch", """
+WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), w AS (SELECT o_custkey, list_sort(list(DISTINCT l_suppkey)) AS wanted FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE l_linenumber = 1 AND o_orderkey % 5 = 0 GROUP BY 1),
+sets AS (SELECT DISTINCT array_to_string(wanted, ',') AS wanted, wanted AS ids FROM w UNION ALL SELECT '', [])
+SELECT sets.wanted, h.l_orderkey AS order_id FROM sets JOIN (SELECT l_orderkey, list(l_suppkey) AS has FROM s GROUP BY 1) h ON list_has_all(h.has, sets.ids)""")
+def _(m):
+    chosen = m.lineitem.where("l_linenumber = 1 AND l_orderkey % 5 = 0").join(m.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    sets = chosen.groupBy("o_custkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("wanted")).select("wanted")
+    sets = sets.union(sets.limit(1).select(F.array().cast("array<bigint>")))
+    out = search.containing_all(m.lineitem, "l_orderkey", "l_suppkey", sets, "wanted")
+    return out.select(F.array_join(F.col("wanted").cast("array<string>"), ",").alias("wanted"), F.col("l_orderkey").alias("order_id"))
+
+
+PAGES = """SELECT DISTINCT user_id, 'a' AS request, CAST(user_id % 4 AS INT) AS page, CASE WHEN user_id % 3 = 0 THEN 3 ELSE 10 END AS "limit" FROM notifications
+UNION ALL SELECT DISTINCT user_id, 'b', CAST(20 AS INT), CAST(NULL AS INT) FROM notifications WHERE user_id % 5 = 0""".replace('"', "{q}")
+
+
+@query("t01_page_requests", f"""
+WITH r AS ({PAGES.replace('{q}', '"')}), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time DESC, notification_id) AS position FROM notifications)
+SELECT r.user_id, r.request, n.position, n.notification_id, n.time FROM r JOIN n ON n.user_id = r.user_id
+WHERE n.position > (greatest(coalesce(r.page, 1), 1) - 1) * coalesce(r."limit", 10) AND n.position <= greatest(coalesce(r.page, 1), 1) * coalesce(r."limit", 10)""")
+def _(m):
+    order = [F.col("time").desc(), F.col("notification_id")]
+    out = page_requests(m.notifications.select("user_id", "notification_id", "time"), "user_id", order, m.derive(PAGES.replace("{q}", "`")))
+    return out.select("user_id", "request", "position", "notification_id", "time")
+
+
+CURSORS = """SELECT user_id, time AS after_time, notification_id AS after_notification_id, CAST(notification_id % 7 AS INT) AS {q}limit{q} FROM notifications WHERE notification_id % 40 = 0
+UNION ALL SELECT DISTINCT user_id, CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), CAST(2 AS INT) FROM notifications"""
+
+
+@query("t01_seek_requests", f"""
+WITH r AS ({CURSORS.replace('{q}', '"')}), p AS (
+  SELECT r.user_id, r.after_time, r.after_notification_id, r."limit", n.time, n.notification_id,
+    row_number() OVER (PARTITION BY r.user_id, r.after_notification_id ORDER BY n.time, n.notification_id) AS position
+  FROM r JOIN notifications n ON n.user_id = r.user_id AND (r.after_time IS NULL OR (n.time, n.notification_id) > (r.after_time, r.after_notification_id)))
+SELECT user_id, after_notification_id, position, notification_id, time FROM p WHERE position <= CASE WHEN "limit" = 0 THEN 10 ELSE "limit" END""")
+def _(m):
+    rows = m.notifications.select("user_id", "time", "notification_id")
+    out = seek_requests(rows, "user_id", ["time", "notification_id"], m.derive(CURSORS.replace("{q}", "`")))
+    return out.select("user_id", "after_notification_id", "position", "notification_id", "time")
