@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from courtside.llm.blocks import text_blocks
 
 SPACE = "▁"
-CACHED = 150_000  # stretches in each of the two generations that a worker remembers
+CACHED = 400_000  # stretches in each of the two generations that a worker remembers
 SHORT = 32  # symbols of a stretch whose agenda is a matrix row
 NEVER = np.int32(1 << 30)
 NUMBER = np.int32  # of a piece
@@ -79,17 +79,50 @@ class Vocabulary:
         for piece, i in self.id_of.items():
             rank[i] = order[self.score_of[piece]]
         self.rank = rank[self.formed]
+        self._fill_slots()
         self.id_of_char = np.full(0x110000, -1, np.int32)
         for piece, i in self.id_of.items():
             if len(piece) == 1:
                 self.id_of_char[ord(piece)] = i
 
+    def _fill_slots(self) -> None:
+        """The pairs as a hash table: a pair that finds its slot taken stands in one of the slots behind it."""
+        bits = int(len(self.pairs)).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        home = self._home(self.pairs)
+        self.slot = np.full((1 << bits) + 64, -1, np.int64)
+        self.slot_pair = np.full(len(self.slot), -1, np.int64)
+        waiting, self.behind = np.arange(len(self.pairs)), 0
+        while len(waiting):
+            at = home[waiting] + self.behind
+            free = np.flatnonzero(self.slot[at] < 0)
+            put, first = np.unique(at[free], return_index=True)
+            self.slot[put] = waiting[free[first]]
+            self.slot_pair[put] = self.pairs[self.slot[put]]
+            waiting = np.setdiff1d(waiting, self.slot[put])
+            self.behind += 1
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of adjacent symbols; NEVER where they form none."""
-        key = a.astype(np.int64) * self.library.get_piece_size() + b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        hit = (self.pairs[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.rank[at], NEVER), np.where(hit, self.formed[at], -1)
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.library.get_piece_size() + b, -2)
+        rank, formed = np.full(key.shape, NEVER, np.int32), np.full(key.shape, -1, np.int32)
+        key, rank_, formed_ = key.ravel(), rank.reshape(-1), formed.reshape(-1)
+        at = self._home(key)
+        open_ = None  # at first all
+        for step in range(self.behind):
+            here, wanted = (at + step, key) if open_ is None else (at[open_] + step, key[open_])
+            there = self.slot_pair[here]
+            hit = np.flatnonzero(there == wanted)
+            rows, pair = (hit if open_ is None else open_[hit]), self.slot[here[hit]]
+            rank_[rows], formed_[rows] = self.rank[pair], self.formed[pair]
+            more = np.flatnonzero((there != wanted) & (there >= 0))
+            open_ = more if open_ is None else open_[more]
+            if not len(open_):
+                break
+        return rank, formed
 
     def merge_all(self, stretches: list[str]) -> list[list[int]]:
         """Ids of every stretch."""
@@ -203,35 +236,55 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, wanted: set[str]) -> None:
-        missing = [s for s in wanted if s not in self.known]
-        if len(self.known) + len(missing) > CACHED:
-            self.older, self.known = self.known, {s: ids for s in wanted if (ids := self.known.get(s)) is not None}
-        self.known.update((s, ids) for s in missing if (ids := self.older.get(s)) is not None)
-        new = [s for s in missing if s not in self.known]
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Packed ids of stretches that the younger memory doesn't hold."""
+        fresh = {s: ids for s in missing if (ids := self.older.get(s)) is not None}
+        new = [s for s in missing if s not in fresh]
         marked = [s.replace(" ", SPACE) for s in new]
         own = self.vocabulary.merge_all(marked)
-        self._compare(marked, own)
-        packed, width = np.fromiter(chain.from_iterable(own), NUMBER).tobytes(), NUMBER().itemsize
-        ends = np.cumsum([0, *map(len, own)]) * width
-        self.known.update(zip(new, [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
-
-    def _compare(self, new: list[str], own: list[list[int]]) -> None:
+        flat, ends = np.fromiter(chain.from_iterable(own), NUMBER), np.cumsum([0, *map(len, own)])
+        self._compare(marked, own, flat, ends)
+        packed, width = flat.tobytes(), NUMBER().itemsize
+        cuts = (ends * width).tolist()
+        fresh.update(zip(new, [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        if len(self.known) + len(fresh) > CACHED:
+            self.older, self.known = self.known, {}
+        self.known.update(fresh)
+        return fresh
+
+    def _compare(self, new: list[str], own: list[list[int]], flat: np.ndarray, ends: np.ndarray) -> None:
         """The library puts a space mark before what it encodes: it stands for the stretch's own, or before a line break that is cut off again."""
         library, start = self.vocabulary.library, [self.vocabulary.id_of[SPACE], self.vocabulary.bytes_from[10]]
         led = [i for i, s in enumerate(new) if s[0] == SPACE and s != SPACE]
         rest = [i for i, s in enumerate(new) if s[0] != SPACE]
-        theirs = [(i, x) for i, x in zip(led, library.encode([new[i][1:] for i in led], num_threads=1), strict=True)] if led else []
-        theirs += [(i, x[2:] if x[:2] == start else None) for i, x in zip(rest, library.encode(["\n" + new[i] for i in rest], num_threads=1), strict=True)] if rest else []
-        for i, ids in theirs:
-            if own[i] != ids:
+        for rows, before, texts in ((led, [], [new[i][1:] for i in led]), (rest, start, ["\n" + new[i] for i in rest])):
+            if not rows:
+                continue
+            theirs = library.encode(texts, num_threads=1)
+            rows, sizes = np.array(rows), np.fromiter(map(len, theirs), np.int64, len(theirs))
+            all_theirs, k = np.fromiter(chain.from_iterable(theirs), NUMBER, int(sizes.sum())), len(before)
+            begin = np.cumsum(sizes) - sizes
+            ours = ends[rows + 1] - ends[rows]
+            good = bool((sizes == ours + k).all())
+            if good:
+                step = np.arange(int(ours.sum())) - np.repeat(np.cumsum(ours) - ours, ours)
+                good = bool((all_theirs[np.repeat(begin + k, ours) + step] == flat[np.repeat(ends[rows], ours) + step]).all())
+                good = good and all((all_theirs[begin + j] == before[j]).all() for j in range(k))
+            if not good:
+                i, ids = next((i, x) for i, x in zip(rows.tolist(), theirs, strict=True) if before + own[i] != x)
                 raise ValueError(f"{new[i]!r} gives {own[i]}, the library gives {ids}")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = list(map(self.vocabulary.stretches, texts))
-        self.learn(set(chain.from_iterable(cut)))
-        known, end = self.known, NUMBER(self.vocabulary.end).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, c), end]), NUMBER) for c in cut]
+        flat = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, flat))
+        if None in found:
+            at = [i for i, ids in enumerate(found) if ids is None]
+            fresh = self.learn({flat[i] for i in at})
+            for i in at:
+                found[i] = fresh[flat[i]]
+        end, ends = NUMBER(self.vocabulary.end).tobytes(), np.cumsum([0, *map(len, cut)]).tolist()
+        return [np.frombuffer(b"".join([*found[a:b], end]), NUMBER) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
