@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 PAYMENT_ENVELOPE = "type STRING, id STRING, created TIMESTAMP_NTZ, data STRUCT<object: STRUCT<id: STRING, description: STRING>>"
 PAYMENT_NOTE = "user_id BIGINT, facility_id BIGINT, facility_amount DOUBLE, trainer_id BIGINT, trainer_amount DOUBLE, book_id BIGINT"
-SOCKET_EVENT = "event_id BIGINT, event STRING, ts TIMESTAMP_NTZ, user_id BIGINT, friend_user_id BIGINT, room_id STRING, chat_id BIGINT, content STRING"
+SOCKET_EVENT = "event_id BIGINT, event STRING, ts TIMESTAMP_NTZ, user_id BIGINT, friend_user_id BIGINT, room_id STRING, chat_id BIGINT, content STRING, socket_id STRING"
 # The realtime events a client can send.
 SOCKET_EVENTS = ["connect_user", "disconnect_user", "join_chat", "leave_chat", "typing", "stop_typing", "send_message", "send_img", "disconnect"]
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from courtside.functions.common import salted_join
 
-ONLINE = {"connect_user": True, "disconnect_user": False, "disconnect": False}
+ONLINE = {"connect_user": True, "disconnect_user": False}
 JOINED = {"join_chat": True, "leave_chat": False}
 
 
@@ -31,6 +36,84 @@ def presence(events: DataFrame) -> DataFrame:
     return _last(events, ["user_id"], ONLINE, "online")
 
 
+def transitions(events: DataFrame) -> DataFrame:
+    """Every change of presence: user_id, ts, event_id, online."""
+    return events.filter(F.col("event").isin(*ONLINE) & F.col("user_id").isNotNull()).select("user_id", "ts", "event_id", _state(ONLINE).alias("online"))
+
+
+SOCKET = "socket_id STRING, user_id BIGINT, opened_us BIGINT, opened_id BIGINT, lost_us BIGINT"
+OPENED = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "ts_us", "event_id")])
+LOST = T.StructType([T.StructField("ts_us", T.LongType())])
+
+
+class Sockets(StatefulProcessor):
+    """Who opened a socket, and when it was lost; both may arrive in any order and more than once. A timer forgets a socket
+    when the watermark has passed its last event."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getValueState("opened", OPENED)
+        self.lost = handle.getValueState("lost", LOST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        opened = tuple(self.opened.get()) if self.opened.exists() else None
+        lost = self.lost.get()[0] if self.lost.exists() else None
+        for chunk in rows:
+            for ts, event_id, user, is_loss in zip(chunk["ts_us"], chunk["event_id"], chunk["user_id"], chunk["is_loss"], strict=True):
+                if is_loss:
+                    lost = int(ts) if lost is None else max(lost, int(ts))
+                elif opened is None or (int(ts), int(event_id)) > opened[1:]:
+                    opened = (int(user), int(ts), int(event_id))
+        if opened is not None:
+            self.opened.update(opened)
+        if lost is not None:
+            self.lost.update((lost,))
+        for (timer,) in [(t[0] if isinstance(t, tuple) else t,) for t in self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        newest = max([t for t in (opened and opened[1], lost) if t is not None])
+        self.handle.registerTimer(max(newest // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        if opened is not None:
+            gone = pd.array([lost if lost is not None and lost >= opened[1] else None], dtype="Int64")
+            yield pd.DataFrame({"socket_id": [key[0]], "user_id": [opened[0]], "opened_us": [opened[1]], "opened_id": [opened[2]], "lost_us": gone})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.opened.clear()
+        self.lost.clear()
+        yield pd.DataFrame({"socket_id": pd.Series(dtype=object), **{c: pd.Series(dtype="Int64") for c in ("user_id", "opened_us", "opened_id", "lost_us")}})
+
+    def close(self) -> None:
+        pass
+
+
+def connections(events: DataFrame, keep: str = "2 days") -> DataFrame:
+    """Changed sockets per micro-batch (update mode; needs the RocksDB state store).
+
+    A connection is opened by ``connect_user`` and lost by a ``disconnect`` that names its socket only. A socket is kept until all
+    events have moved on by ``keep``, and events that are later than that are dropped, so the state holds recent sockets only.
+    """
+    used = events.filter("socket_id IS NOT NULL").filter((F.col("event") == "connect_user") & F.col("user_id").isNotNull() | (F.col("event") == "disconnect"))
+    rows = used.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", keep)
+    rows = rows.select("socket_id", "at", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), (F.col("event") == "disconnect").alias("is_loss"))
+    return rows.groupBy("socket_id").transformWithStateInPandas(Sockets(), SOCKET, "Update", "EventTime")
+
+
+def presence_by_socket(changes: DataFrame, sockets: DataFrame) -> DataFrame:
+    """Whether each user is online, from the logs of ``presence`` (user events) and ``connections``.
+
+    A user is online if the last event of the user is a connection whose socket was not lost since. Losing an older socket after a
+    reconnection changes nothing. ``ts`` is the time of the user's last event, or of the loss that ended it.
+    """
+    last = snapshot(changes, ["user_id"])
+    # a socket's log only ever adds: the newest opening, and with it the latest loss
+    held = sockets.groupBy("socket_id").agg(F.max(F.struct("opened_us", "opened_id", F.coalesce("lost_us", F.lit(-1)).alias("lost_us"), "user_id")).alias("s"))
+    lost = held.where("s.lost_us >= 0").select(F.col("s.user_id").alias("user_id"), F.col("s.opened_id").alias("event_id"), F.col("s.lost_us").alias("lost_us"))
+    lost = lost.groupBy("user_id", "event_id").agg(F.min("lost_us").alias("_lost"))
+    ended = F.col("online") & F.col("_lost").isNotNull()
+    out = last.join(lost, ["user_id", "event_id"], "left")
+    at = F.timestamp_micros("_lost").cast("timestamp_ntz")
+    return out.select("user_id", F.when(ended, F.lit(False)).otherwise(F.col("online")).alias("online"), F.when(ended, at).otherwise(F.col("ts")).alias("ts"))
+
+
 def presence_notices(changed: DataFrame, chats: DataFrame) -> DataFrame:
     """Tell every chat partner of the changed users (R53): user_active or user_inactive."""
     partners = chats.select("user_id", F.col("friend_user_id").alias("partner_id")).distinct()

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,33 +61,76 @@ def test_membership_needs_a_chat(spark, tmp_path):
     assert rows(presence.snapshot(log, ["user_id", "room_id"]), "user_id", "joined") == [(1, False), (2, True)]
 
 
-def test_unread_counters_add_and_clear(spark, tmp_path):
+EVENT = "user_id BIGINT, room_id STRING, ts_us BIGINT, is_read BOOLEAN"
+
+
+def counted(spark, tmp_path, batches):
+    """Counters left by the stream, and by all events together; a file per micro-batch."""
     src = str(tmp_path / "src")
-    schema = "user_id BIGINT, room_id STRING, ts_us BIGINT, is_read BOOLEAN"
-    put_json(src, "a.json", [{"user_id": 1, "room_id": "r", "ts_us": t, "is_read": False} for t in (1, 2, 3)] + [{"user_id": 2, "room_id": "r", "ts_us": 1, "is_read": False}])
-    put_json(src, "b.json", [{"user_id": 1, "room_id": "r", "ts_us": 6, "is_read": False}, {"user_id": 1, "room_id": "r", "ts_us": 5, "is_read": True}, {"user_id": 1, "room_id": "r", "ts_us": 4, "is_read": False}])
-    put_json(src, "c.json", [{"user_id": 1, "room_id": "r", "ts_us": 8, "is_read": False}])
+    for i, batch in enumerate(batches):
+        put_json(src, f"{i}.json", [{"user_id": u, "room_id": "r", "ts_us": t, "is_read": read} for u, t, read in batch])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        stream = flows.unread_counters(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src))
-        out = drain(stream, str(tmp_path), "update")
+        out = drain(flows.unread_counters(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(src)), str(tmp_path), "update")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {}
     for i in sorted(os.listdir(out), key=lambda n: int(n.split("=")[1])):
-        got.update({(r.user_id, r.room_id): r.unread for r in spark.read.parquet(f"{out}/{i}").collect()})
-    assert got == {(1, "r"): 2, (2, "r"): 1}
-
-
-def test_delivery_uses_presence_of_the_batch(spark, tmp_path):
+        got.update({r.user_id: r.unread for r in spark.read.parquet(f"{out}/{i}").collect()})
+    return got, {r.user_id: r.unread for r in flows.unread_counters_batch(spark.read.schema(EVENT).json(src)).collect()}
+
+
+def test_unread_counters_with_late_messages_and_reads(spark, tmp_path):
+    batches = [
+        [(1, 3, False), (1, 10, False), (2, 5, True), (3, 1, False), (3, 2, False), (3, 2, False)],
+        [(1, 5, True), (2, 3, False), (3, 9, True)],  # a read between earlier messages; a message older than the read
+        [(1, 4, False), (2, 7, False), (3, 8, False)],
+        [(1, 2, True), (2, 6, True), (3, 11, False), (3, 9, False)],  # a read older than the newest
+        [(1, 12, False), (2, 7, False), (3, 4, True)],
+    ]
+    got, batch = counted(spark, tmp_path, batches)
+    assert got == batch == {1: 2, 2: 2, 3: 1}
+
+
+def test_states_as_of(spark):
+    r = random.Random(7)
+    at = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    changes = [(u, at(r.randrange(200)), i, bool(r.randrange(2))) for i, u in enumerate([1] * 60 + [2] * 3 + [9])]
+    events = [(i, r.choice([1, 1, 2, 3, None]), at(r.randrange(220)), "x") for i in range(300)]
+    states = spark.createDataFrame(changes, "user_id int, ts string, event_id bigint, online boolean").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows_ = spark.createDataFrame(events, "id int, user_id int, ts string, _value string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {x.id: x.online for x in flows.as_of(rows_, states, "user_id", "online", hours=24).collect()}
+    want = {i: max([(t, e, o) for v, t, e, o in changes if v == u and t <= ts], default=(None, None, None))[2] for i, u, ts, _ in events}
+    assert got == want and len(set(want.values())) == 3
+
+
+def test_delivery_by_presence_at_the_time_of_the_message(spark, tmp_path):
     src = str(tmp_path / "src")
-    put_json(src, "a.json", [{"message_id": i, "chat_id": c, "ts": "2024-01-01T00:00:00", "content": "x"} for i, c in ((1, 10), (2, 11), (3, 99), (4, 11))])
+    put_json(src, "a.json", [{"message_id": i, "chat_id": c, "ts": f"2024-01-01T00:{t:02d}:00", "content": "x"} for i, c, t in ((1, 10, 5), (2, 10, 15), (3, 99, 5), (4, 11, 5), (5, 10, 0))])
     stream = spark.readStream.schema("message_id BIGINT, chat_id BIGINT, ts TIMESTAMP_NTZ, content STRING").json(src)
     chats = spark.createDataFrame([(10, "r", 1, 2), (11, "r", 2, 1)], "chat_id BIGINT, room_id STRING, user_id BIGINT, friend_user_id BIGINT")
-    online = spark.createDataFrame([(2,)], "user_id BIGINT")
-    flows.chat_delivery(stream, lambda: chats, lambda: online, str(tmp_path / "o"), str(tmp_path / "ck")).awaitTermination()
+    moves = spark.createDataFrame([(1, 2, "2024-01-01 00:01:00", True), (2, 2, "2024-01-01 00:10:00", False)], "event_id BIGINT, user_id BIGINT, ts STRING, online BOOLEAN")
+    moves = moves.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    flows.chat_delivery(stream, lambda: chats, lambda: moves, str(tmp_path / "o"), str(tmp_path / "ck")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "o/delivered")), "message_id", "receiver_id") == [(1, 2)]
-    assert rows(spark.read.parquet(str(tmp_path / "o/missed")), "user_id", "new_messages") == [(1, 2)]
+    assert rows(spark.read.parquet(str(tmp_path / "o/missed")), "user_id", "new_messages") == [(1, 1), (2, 2)]
+
+
+def test_losing_an_old_socket_changes_nothing(spark, tmp_path):
+    src, work = str(tmp_path / "src"), str(tmp_path)
+    put_json(src, "a.json", [sock(1, 1, 1, "connect_user", socket_id="a"), sock(2, 1, 2, "connect_user", socket_id="b"), sock(8, 9, None, "disconnect", socket_id="f")])
+    put_json(src, "b.json", [sock(3, 3, 1, "connect_user", socket_id="c"), sock(4, 4, None, "disconnect", socket_id="b"), sock(9, 8, 5, "connect_user", socket_id="f")])
+    put_json(src, "c.json", [sock(5, 5, None, "disconnect", socket_id="a"), sock(6, 1, 3, "connect_user", socket_id="d"), sock(7, 2, 3, "disconnect_user")])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        out = drain(presence.connections(read_socket_events(spark, src, files_per_batch=1)), work, "update")
+        users = drain(presence.presence(read_socket_events(spark, src, files_per_batch=1).where("user_id IS NOT NULL")), f"{work}/users", "update")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    read = lambda p: spark.read.option("recursiveFileLookup", "true").parquet(p)
+    got = presence.presence_by_socket(read(users), read(out))
+    # 1 came back on c before a was lost; b was lost; 3 left; f was lost after it was opened, though its loss arrived first
+    assert {r.user_id: (r.online, r.ts.minute) for r in got.collect()} == {1: (True, 3), 2: (False, 4), 3: (False, 2), 5: (False, 9)}
 
 
 def test_payment_log_has_each_event_once(spark, tmp_path):
