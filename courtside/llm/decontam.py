@@ -11,11 +11,16 @@ words as the item has. The search runs inside the scan of the documents, without
    on if a random bit of (j, symbol) says so. Windows at a small edit distance get strings at a small Hamming distance.
 3. Bit sampling: each repetition compares ``SAMPLED`` places of the embedded strings with those of the items. The number of repetitions
    is raised until edited copies of the items themselves, at the largest allowed distance, are found with the target recall, those of
-   each kind of edits by themselves. Every ``ROUND`` repetitions new walks are taken; if ``MOST_ROUNDS`` do not suffice, this is an error.
+   each kind of edits by themselves. Every ``ROUND`` repetitions new walks are taken; if ``MOST_ROUNDS`` do not suffice, every window that
+   has enough words of an item meets it, which loses nothing.
 4. Every window that meets an item this way is checked by its exact edit distance; with ``passages`` by the least edit distance of the item
    to any passage of the window and the ``edits`` words on either side of it.
 
-Items are taken in blocks of a fixed number of bytes, each of which is sent to the executors and meets all documents.
+Bit sampling finds ever fewer copies as strings grow. An item of more than ``LONGEST`` words is therefore cut into parts of equal length:
+of its edits, one of m parts has no more than the m-th part. Parts are searched as above, and where one is found, the whole item is checked.
+
+Items are taken in blocks, bounded by the bytes of their texts and keys, each of which is sent to the executors and meets all documents. The
+results of a block are written before the next one is sent.
 """
 
 from __future__ import annotations
@@ -33,15 +38,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtside.llm.blocks import mixed, text_blocks
+from courtside.llm.vectors import written
 
-BLOCK_BYTES = 4 << 20  # of item texts in one pass over the documents
+BLOCK_BYTES = 32 << 20  # of item texts and keys in one pass over the documents
+LONGEST = 160  # words of an item that is searched as a whole
+PART = 100  # words of a part of a longer one, about
 SAMPLED = 3
 SYMBOL_BITS = 21  # three symbols make a key
 WALKS = 8  # independent embeddings of a round; repetitions take them in turn
 ROUND = 256  # repetitions
 MOST_ROUNDS = 8
 COPIES = 512  # edited copies of the items of one length, at least
-PAIRS = 2048  # windows and items that are aligned at a time
+CELLS = 1 << 19  # words of the windows that are aligned at a time
 RARE = 0.03  # words in at most this share of the items (or in one item) are rarer words
 WORD = re.compile(r"\w+")
 
@@ -50,17 +58,21 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def bits(walk: int, step: int, symbols: np.ndarray) -> np.ndarray:
-    """The random bit of a step and symbol."""
-    with np.errstate(over="ignore"):
-        return (mixed(symbols.astype(np.uint64) + np.uint64((walk * 4096 + step) * 0x1000003 + 0x5851F42D4C957F2D)) >> np.uint64(63)).astype(np.int64)
+def walk_numbers(length: int, first: int, steps: int) -> np.ndarray:
+    """Random numbers of the walks of a round, ``first`` and those behind it: an odd factor and an addend for each walk and step.
+
+    The highest bit of factor * h + addend, h a hash of a symbol, says whether a walk moves on.
+    """
+    out = np.random.default_rng((length, first)).integers(0, 1 << 64, (2, WALKS, steps), np.uint64)
+    out[0] |= np.uint64(1)
+    return out
 
 
 class Sized:
     """The items of one length, and how to find them."""
 
-    def __init__(self, length: int, tolerance: float, recall: float, items: np.ndarray, numbers: list[int], rare: np.ndarray, passages: bool):
-        self.length, self.edits, self.items, self.numbers = length, math.floor(tolerance * length), items, np.array(numbers)
+    def __init__(self, length: int, edits: int, recall: float, items: np.ndarray, numbers: list[int], rare: np.ndarray, passages: bool):
+        self.length, self.edits, self.items, self.numbers = length, edits, items, np.array(numbers)
         self.slack = self.edits if passages else 0  # words that a passage may have more or less than its item
         self.known = np.zeros(len(rare), bool)
         self.known[items.reshape(-1)] = True
@@ -68,27 +80,28 @@ class Sized:
         self.least_rare = max(0, int(rare[items].sum(1).min()) - self.edits)
         self.steps = 2 * length
         random = np.random.default_rng(length)
-        # Walk bits by step and by symbol of this length's items; all other symbols count as one, 0. The end of a window is the last.
+        # Symbols of this length's items; all others count as one, 0. The end of a window is the last.
         self.compact = np.cumsum(self.known) * self.known
         self.end = int(self.compact.max()) + 1
-        self.places, self.bits, self.keys = np.zeros((0, SAMPLED), np.int64), [], []
+        self.hashes = mixed(np.arange(1, self.end + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.places, self.walks, self.keys = np.zeros((0, SAMPLED), np.int64), [], []
         tried, origin, kind = self.edited(random)
         found = np.zeros(len(tried), bool)
         for _ in range(MOST_ROUNDS):
             if self.more(random, tried, origin, kind, found, recall):
                 return
-        raise ValueError(f"items of {length} words: {MOST_ROUNDS * ROUND} repetitions find {least_share(found, kind):.4f} of the edited copies, not {recall}")
+        self.places, self.walks, self.keys = self.places[:0], [], None
 
     def more(self, random: np.random.Generator, tried: np.ndarray, origin: np.ndarray, kind: np.ndarray, found: np.ndarray, recall: float) -> bool:
         """Add a round of repetitions, or as many of it as it takes; whether the copies of each kind are ``found`` with the recall."""
-        first = len(self.bits)
-        self.bits += [np.stack([bits(w, j, np.arange(self.end + 1)) for j in range(self.steps)]) for w in range(first, first + WALKS)]
+        first = len(self.walks) * WALKS
+        self.walks.append(walk_numbers(self.length, first, self.steps))
         self.places = np.concatenate([self.places, np.sort(random.integers(0, self.steps, (ROUND, SAMPLED)), 1)])
         own, embedded = (self.embed(self.compact[x], first) for x in (self.items, tried))
         for r in range(len(self.keys), len(self.keys) + ROUND):
             item_keys = self.key(own, r)
             order = np.argsort(item_keys, kind="stable")
-            self.keys.append((item_keys[order], order))
+            self.keys.append((item_keys[order], order.astype(np.int32)))
             found |= self.key(embedded, r) == item_keys[origin]
             if (r + 1) % WALKS == 0 and least_share(found, kind) >= recall:
                 return True
@@ -125,14 +138,20 @@ class Sized:
         """Embedded strings of the walks of a round, ``first`` and those behind it: walk, step, window."""
         n = len(windows)
         padded = np.concatenate([windows, np.full((n, 1), self.end, windows.dtype)], 1).reshape(-1)
-        row = np.arange(n) * (self.length + 1)
+        hashes, (factor, addend) = self.hashes[padded], self.walks[first // WALKS]
+        begin = np.arange(n) * (self.length + 1)
+        last = begin + self.length
         out = np.empty((WALKS, self.steps, n), np.int32)
-        for w in range(WALKS):
-            cursor = np.zeros(n, np.int64)
-            for j in range(self.steps):
-                symbol = padded[row + np.minimum(cursor, self.length)]
-                out[w, j] = symbol
-                cursor += self.bits[first + w][j][symbol]
+        with np.errstate(over="ignore"):
+            for w in range(WALKS):
+                cursor = begin.copy()
+                for j in range(self.steps):
+                    out[w, j] = padded[cursor]
+                    step = hashes[cursor]
+                    step *= factor[w, j]
+                    step += addend[w, j]
+                    cursor += (step >> np.uint64(63)).view(np.int64)
+                    np.minimum(cursor, last, out=cursor)
         return out
 
     def key(self, embedded: np.ndarray, repetition: int) -> np.ndarray:
@@ -158,21 +177,12 @@ class Sized:
         for at in range(0, len(begins), 4096):
             some = begins[at : at + 4096]
             windows = words[some[:, None] + np.arange(self.length)]
-            embedded, pairs = None, []
-            for r, (keys, order) in enumerate(self.keys):
-                if r % ROUND == 0:
-                    embedded = self.embed(self.compact[windows], r // ROUND * WALKS)
-                key = self.key(embedded, r)
-                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                hit = np.flatnonzero(low < high)
-                size = high[hit] - low[hit]
-                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                pairs.append(np.repeat(hit, size) * len(self.items) + order[np.repeat(low[hit], size) + within])
-            window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+            window, item = self.meet(windows) if self.keys is not None else self.meet_all(windows)
             if self.slack:
-                for n in range(0, len(window), PAIRS):
-                    at, which = some[window[n : n + PAIRS]], item[n : n + PAIRS]
-                    start, length, distance = self.nearest(words, at, before[at], left[at], self.items[which])
+                size = max(1, CELLS // (self.length + 2 * self.slack))
+                for n in range(0, len(window), size):
+                    at, which = some[window[n : n + size]], item[n : n + size]
+                    start, length, distance = nearest(words, at, before[at], left[at], self.items[which], self.slack)
                     good = np.flatnonzero(distance <= self.edits)
                     yield start[good], self.numbers[which[good]], distance[good], length[good]
             elif len(window):
@@ -180,27 +190,96 @@ class Sized:
                 good = np.flatnonzero(distance <= self.edits)
                 yield some[window[good]], self.numbers[item[good]], distance[good], np.full(len(good), self.length)
 
-    def nearest(self, words: np.ndarray, begins: np.ndarray, before: np.ndarray, left: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, length and distance of the passage nearest to each item, in its window with ``slack`` words on either side.
+    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items that have a key in common."""
+        embedded, pairs = None, [np.zeros(0, np.int64)]
+        for r, (keys, order) in enumerate(self.keys):
+            if r % ROUND == 0:
+                embedded = self.embed(self.compact[windows], r // ROUND * WALKS)
+            key = self.key(embedded, r)
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            hit = np.flatnonzero(low < high)
+            size = high[hit] - low[hit]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            pairs.append(np.repeat(hit, size) * len(self.items) + order[np.repeat(low[hit], size) + within])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+
+    def meet_all(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of which they have enough words."""
+        window, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, own in enumerate(self.items):
+            has = np.zeros(len(self.known), bool)
+            has[own] = True
+            window.append(np.flatnonzero(has[windows].sum(1) >= self.length - self.edits))
+            item.append(np.full(len(window[-1]), i))
+        return np.concatenate(window), np.concatenate(item)
+
+
+class Parted:
+    """The items of one length beyond LONGEST, found by their parts."""
+
+    def __init__(self, length: int, edits: int, recall: float, items: np.ndarray, numbers: list[int], rare: np.ndarray, passages: bool):
+        self.length, self.edits, self.items, self.numbers, self.passages = length, edits, items, np.array(numbers), passages
+        self.slack = edits  # of the alignment of a whole item
+        count = math.ceil(length / PART)
+        ends = [length * (i + 1) // count for i in range(count)]
+        cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+        self.parts = []  # of one length each, with the place of every part in its item
+        for size in sorted({b - a for a, b in cuts}):
+            places = [a for a, b in cuts if b - a == size]
+            own = np.concatenate([items[:, a : a + size] for a in places])
+            self.parts.append((Sized(size, edits // count, recall, own, list(range(len(own))), rare, True), np.repeat(places, len(items))))
 
-        Of several the first, of these the one whose length is nearest to the item's. No passage leaves its document.
-        """
-        width = self.length + 2 * self.slack
-        text = words[np.clip(begins[:, None] + np.arange(-self.slack, self.length + self.slack), 0, len(words) - 1)]
-        column, unit = np.arange(width + 1), width + 1  # a cell holds its edits * unit + the column where its passage begins
-        step, far = column * unit, (self.length + width + 2) * unit
-        inside = (column >= self.slack - before[:, None]) & (column <= self.slack + left[:, None])
-        row = np.where(inside, column, far)
-        for i in range(self.length):
-            new = row + unit
-            new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + unit * (text != items[:, i, None]))
-            row = np.minimum.accumulate(new - step, 1) + step
-        row = np.where(inside, row, far)
-        edits, first = np.divmod(row, unit)
-        end = np.argmin(row * unit + np.abs(column - first - self.length), 1)
-        rows = np.arange(len(begins))
-        first, edits = first[rows, end], edits[rows, end]
-        return begins - self.slack + first, end - first, edits
+    def matches(self, words: np.ndarray, before: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As of Sized."""
+        seen = [np.zeros((3, 0), np.int64)]
+        for part, places in self.parts:
+            for start, number, _, _ in part.matches(words, before, left):
+                seen.append(np.stack([start - places[number], number % len(self.items), start]))  # where the item would begin without edits, and a word of the document
+        begin, item, word = np.concatenate(seen, 1)
+        _, first = np.unique(np.stack([begin, item]), axis=1, return_index=True)
+        begin, item, word = begin[first], item[first], word[first]
+        # of the document, counted from there; the item may begin before the document
+        ahead, behind = before[word] - (word - begin), left[word] + (word - begin)
+        size = max(1, CELLS // (self.length + 2 * self.slack))
+        for n in range(0, len(begin), size):
+            some = slice(n, n + size)
+            if self.passages:
+                start, length, distance = nearest(words, begin[some], ahead[some], behind[some], self.items[item[some]], self.slack)
+                which = item[some]
+            else:
+                start = (begin[some, None] + np.arange(-self.slack, self.slack + 1)).ravel()
+                fits = (ahead[some, None] + np.arange(-self.slack, self.slack + 1) >= 0) & (behind[some, None] - np.arange(-self.slack, self.slack + 1) >= self.length)
+                start, which = np.unique(np.stack([start, np.repeat(item[some], 2 * self.slack + 1)])[:, fits.ravel()], axis=1)
+                distance = np.concatenate([edit_distance(words[start[i : i + size, None] + np.arange(self.length)], self.items[which[i : i + size]], self.edits) for i in range(0, len(start), size)] or [np.zeros(0, np.int64)])
+                length = np.full(len(start), self.length)
+            good = np.flatnonzero(distance <= self.edits)
+            yield start[good], self.numbers[which[good]], distance[good], length[good]
+
+
+def nearest(words: np.ndarray, begins: np.ndarray, before: np.ndarray, left: np.ndarray, items: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length and distance of the passage nearest to each item, in its window with ``slack`` words on either side.
+
+    ``before`` and ``left``: words of the document in front of each beginning and from there on. Of several the first, of these the one
+    whose length is nearest to the item's. No passage leaves its document.
+    """
+    size = items.shape[1]
+    width = size + 2 * slack
+    text = words[np.clip(begins[:, None] + np.arange(-slack, size + slack), 0, len(words) - 1)]
+    column, unit = np.arange(width + 1), width + 1  # a cell holds its edits * unit + the column where its passage begins
+    step, far = column * unit, (size + width + 2) * unit
+    inside = (column >= slack - before[:, None]) & (column <= slack + left[:, None])
+    row = np.where(inside, column, far)
+    for i in range(size):
+        new = row + unit
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + unit * (text != items[:, i, None]))
+        row = np.minimum.accumulate(new - step, 1) + step
+    row = np.where(inside, row, far)
+    edits, first = np.divmod(row, unit)
+    end = np.argmin(row * unit + np.abs(column - first - size), 1)
+    rows = np.arange(len(begins))
+    first, edits = first[rows, end], edits[rows, end]
+    return begins - slack + first, end - first, edits
 
 
 def least_share(found: np.ndarray, kind: np.ndarray) -> float:
@@ -241,7 +320,9 @@ class Benchmark:
         occurs = np.bincount(np.concatenate([np.zeros(0, np.int64), *(sorted(set(w)) for v in by_length.values() for _, w in v)]).astype(np.int64), minlength=len(vocabulary) + 1)
         rare = occurs <= max(1, RARE * len(items))
         rare[0] = False
-        self.sized = [Sized(k, tolerance, recall, np.array([w for _, w in v]), [n for n, _ in v], rare, passages) for k, v in sorted(by_length.items())]
+        self.sized = [
+            (Sized if k <= LONGEST else Parted)(k, math.floor(tolerance * k), recall, np.array([w for _, w in v]), [n for n, _ in v], rare, passages) for k, v in sorted(by_length.items())
+        ]
         self.fill = max([s.slack for s in self.sized], default=0)
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -263,9 +344,9 @@ class Benchmark:
 
 
 def item_blocks(items: DataFrame, tolerance: float, recall: float, id_col: str, text_col: str, passages: bool) -> Iterator[Benchmark]:
-    """The items in blocks of about BLOCK_BYTES of text, dealt by a hash of the row."""
+    """The items in blocks of about BLOCK_BYTES of text and keys, dealt by a hash of the row."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64 + 12 * ROUND)).first()[0] or 0
     blocks = math.ceil(size / BLOCK_BYTES)
     for b in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
@@ -289,10 +370,14 @@ def find_leaks(
         T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("edits", T.IntegerType()),
     ])
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], schema)
+    out, waiting = spark.createDataFrame([], schema), None
     for benchmark in item_blocks(items, tolerance, recall, item_id, item_text, passages):
-        out = out.union(source.mapInArrow(_finder(spark.sparkContext.broadcast(benchmark), schema), schema))
-    return out
+        if waiting:  # more than one block: the results of the last one are written, and it is taken back
+            out = out.union(written(waiting[0], "leaks"))
+            waiting[1].destroy()
+        sent = spark.sparkContext.broadcast(benchmark)
+        waiting = source.mapInArrow(_finder(sent, schema), schema), sent
+    return out.union(waiting[0]) if waiting else out
 
 
 def _finder(sent, schema: T.StructType):
@@ -313,9 +398,12 @@ def _finder(sent, schema: T.StructType):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, tolerance: float = 0.1, recall: float = 0.99, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", passages: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no item is found, unchanged; see ``find_leaks``."""
-    spark = docs.sparkSession
+    spark, last = docs.sparkSession, None
     for benchmark in item_blocks(items, tolerance, recall, item_id, item_text, passages):
-        sent = spark.sparkContext.broadcast(benchmark)
+        if last:  # what a block leaves is written before the next one is sent
+            docs = written(docs, "clean")
+            last.destroy()
+        last = sent = spark.sparkContext.broadcast(benchmark)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part in text_blocks(batches, text_col):

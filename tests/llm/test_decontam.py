@@ -140,9 +140,59 @@ def test_short_items_and_a_recall_out_of_reach(monkeypatch):
     items = [(i, prose(i, 59, 3000)) for i in range(20)]
     known = Benchmark(items, 0.1, 0.99, True)
     assert len(known.sized[0].keys) > decontam.ROUND and len(known.leaks([items[3][1]])) == 1
-    monkeypatch.setattr(decontam, "MOST_ROUNDS", 1)
-    with pytest.raises(ValueError):
-        Benchmark(items, 0.1, 0.9999, True)
+    # where the repetitions don't reach the recall, every window with enough words is checked, which finds all
+    monkeypatch.setattr(decontam, "MOST_ROUNDS", 0)
+    r, texts = random.Random(4), []
+    for n, (_, text) in enumerate(items):
+        words = words_of(text)
+        for _ in range(5):
+            at = r.randrange(len(words))
+            words[at : at + (n % 3 != 1)] = [[], ["zz"], ["zz"]][n % 3]
+        texts.append(" ".join(words))
+    exact = Benchmark(items, 0.1, 0.9999, True)
+    assert exact.sized[0].keys is None
+    assert {(x[0], x[1]) for x in exact.leaks(texts)} == {(n, n) for n in range(20)}
+
+
+LONG = [5, 161, 300, 1000]
+
+
+@pytest.mark.parametrize("passages", [True, False])
+def test_items_of_any_length(passages):
+    """Copies with as many edits as allowed, of each kind, in front, in the middle and at the end of documents."""
+    r = random.Random(31)
+    items = [(i, " ".join(f"w{r.randrange(4000)}" for _ in range(n))) for i, n in enumerate(LONG * 2)]
+    known = Benchmark(items, 0.1, 0.99, passages)
+    texts, of, kinds = [], [], []
+    for n in range(64 if passages else 16):
+        i, kind = n % len(items), n // len(items) % 4
+        words = words_of(items[i][1])
+        for e in range(len(words) // 10):
+            at, do = r.randrange(len(words)), kind if kind < 3 and passages else (0 if not passages else r.randrange(3))
+            words[at : at + (do != 2)] = [["zz"], [], ["yy"]][do]
+        before, after = (prose(n, r.choice([0, 0, 40]), 900), prose(-n - 1, r.choice([0, 0, 40]), 900))
+        texts.append(" ".join([before, *words, after]))
+        of.append(i)
+        kinds.append(kind)
+    found = {(x[0], x[1]): x for x in known.leaks(texts)}
+    hit = [(n, i) in found for n, i in enumerate(of)]
+    assert np.mean(hit) >= 0.98, [(LONG[i % 4], k) for i, k, h in zip(of, kinds, hit, strict=True) if not h]
+    assert set(found) <= set(enumerate(of))
+    for (n, i), (_, _, start, length, edits) in found.items():
+        passage, item = words_of(texts[n])[start : start + length], words_of(items[i][1])
+        assert len(passage) == length and (passages or length == len(item)) and edits <= len(item) // 10
+        assert distance(passage, item) == edits
+    assert known.leaks([prose(1, 3000, 4000), " ".join(words_of(items[3][1])[:500])]) == []
+
+
+def test_what_is_sent_stays_small():
+    import pickle
+
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(50_000)}" for _ in range(n))) for i, n in enumerate([20, 500, 2000, 5000] * 3)]
+    known = Benchmark(items, 0.1, 0.99, True)
+    assert len(pickle.dumps(known)) < 16 << 20
+    assert [x[:2] for x in known.leaks([items[3][1]])] == [(0, 3)]
 
 
 def test_empty_tables(spark):
