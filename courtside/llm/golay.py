@@ -37,6 +37,7 @@ GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit and width
 MAX_BITS = 4  # what the two kinds of keys cover
 COMPARED = 2048  # rows of a comparison block
+LARGE = 4 * COMPARED  # fingerprints of a key from which they are compared by blocks of bits
 
 
 # Fingerprints
@@ -181,6 +182,22 @@ def linked(members: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *child]), np.concatenate([empty, *parent])
 
 
+def linked_large(members: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``linked``, for many fingerprints: two that differ in at most ``max_bits`` bits agree in one of ``max_bits + 1`` blocks of bits,
+    so only those with a block in common are compared."""
+    edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+    child, parent = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        block = members >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(block, kind="stable")
+        for group in np.split(members[order], np.flatnonzero(np.diff(block[order])) + 1):
+            if len(group) > 1:
+                a, b = linked(group, max_bits)
+                child.append(a)
+                parent.append(b)
+    return np.concatenate(child), np.concatenate(parent)
+
+
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Links among the fingerprints of each key, from rows sorted by key; a key's rows may go on in the next batch."""
     held_key = np.zeros(0, np.int64)
@@ -193,7 +210,7 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         near = np.bitwise_count(value[twos] ^ value[twos + 1]) <= max_bits if len(twos) else np.zeros(0, bool)
         a, b = [value[twos[near]]], [value[twos[near] + 1]]
         for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = linked(value[s : s + n], max_bits)
+            x, y = (linked if n <= LARGE else linked_large)(value[s : s + n], max_bits)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -232,7 +249,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, i
                 row, key = keys_of(value)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value[row])], ["key", "fingerprint"])
 
-    keys = classes.select("fingerprint").mapInArrow(keyed, "key bigint, fingerprint bigint")
+    # a few bytes of fingerprints make many keys: they are not packed into few tasks
+    dealt = classes.select("fingerprint").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    keys = dealt.mapInArrow(keyed, "key bigint, fingerprint bigint")
     links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _links(b, max_bits), "a bigint, b bigint").distinct()
     roots = components(links, "a", "b")
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))

@@ -95,3 +95,30 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
     got = {x["node"]: x["root"] for x in components(df, "a", "b").collect()}
     assert {n: got.get(n, n) for n in nodes} == parent
+
+
+def test_large_keys_are_compared_by_blocks():
+    from courtside.llm.golay import linked, linked_large
+
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 40, np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(600)]
+    members = np.unique(centres[rng.integers(0, 40, 600)] ^ np.array(flips, np.uint64))
+
+    def groups(links):
+        root = {int(m): int(m) for m in members}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*(x.tolist() for x in links), strict=True):
+            assert (a ^ b).bit_count() <= 4
+            root[find(a)] = find(b)
+        out = {}
+        for m in members.tolist():
+            out.setdefault(find(m), set()).add(m)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(linked_large(members, 4)) == groups(linked(members, 4))
