@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import escape
 from html.parser import HTMLParser
 
@@ -31,15 +32,23 @@ def _safe_link(value: str) -> bool:
 
 
 class _Cleaner(HTMLParser):
-    """Keeps allowed tags and all text outside script-like elements, closes what stays open."""
+    """Keeps allowed tags and all text outside script-like elements, closes what stays open.
+
+    Open elements are counted by name, so an end tag that closes nothing and a text cost the same at any depth; each element is
+    opened and closed once.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.silent = 0  # open elements whose text is dropped
 
     def _close_top(self) -> None:
         tag = self.open.pop()
+        self.count[tag] -= 1
+        self.silent -= tag in TEXTLESS_TAGS
         if tag in ALLOWED_TAGS:
             self.out.append(f"</{tag}>")
 
@@ -56,12 +65,14 @@ class _Cleaner(HTMLParser):
             self.out.append(f"<{tag}{''.join(kept)}{' /' if tag in VOID_TAGS else ''}>")
         if tag not in VOID_TAGS:
             self.open.append(tag)
+            self.count[tag] += 1
+            self.silent += tag in TEXTLESS_TAGS
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.open:
+        if self.count[tag]:
             while self.open[-1] != tag:
                 self._close_top()
             self._close_top()
@@ -71,7 +82,7 @@ class _Cleaner(HTMLParser):
             self.out.append("<br />")
 
     def handle_data(self, data):
-        if not TEXTLESS_TAGS.intersection(self.open):
+        if not self.silent:
             self.out.append(escape(data, quote=False))
 
 

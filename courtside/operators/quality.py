@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtside.functions.common import any_of, flag
+from courtside.functions.store import written
 from courtside.functions.times import seconds_of
 from courtside.operators.filters import TIME_PATTERN, WEEK_DAYS
 
@@ -121,50 +123,90 @@ UNIQUE_KEYS = [("users", "user_id"), ("users", "email"), ("users", "socket_id"),
                ("posts", "post_id"), ("chats", "chat_id"), ("messages", "message_id"), ("notifications", "notification_id"), ("comments", "comment_id"), ("payments", "book_id")]
 
 
-def cascade_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame) -> dict[str, DataFrame]:
-    """Tables after deleting ``keys`` from ``root`` and everything that depends on it.
-
-    Walks the foreign-key graph in dependency order; each table loses the rows whose parent is lost. A row
-    lost through several parents is lost once.
-    """
-    lost: dict[str, list[tuple[str, DataFrame]]] = {root: [(keys.columns[0], keys.distinct())]}
-    order, left = [root], {t for t in tables if t != root}
+def _parents_first(tables: Sequence[str], root: str) -> list[str]:
+    order, left = [], set(tables)
     while left:
-        ready = sorted(t for t in left if not any(c == t and p in left for c, _, p, _, _ in FOREIGN_KEYS))
+        ready = sorted((t for t in left if not any(c == t and p in left and p != t for c, _, p, _, _ in FOREIGN_KEYS)), key=lambda t: (t != root, t))
         if not ready:
             raise ValueError(f"cyclic foreign keys among {sorted(left)}")
         order += ready
         left -= set(ready)
-    out = dict(tables)
+    return order
+
+
+def cascade_delete(tables: dict[str, DataFrame], root: str, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables after deleting ``keys`` from ``root`` and everything that depends on it, and the keys whose deletion is refused.
+
+    A foreign key that doesn't cascade refuses the deletion of what it refers to: a root key is kept, with all that depends on it, if a
+    row that would go with it is still referred to in that way. Refusals are found from the leaves up, as one set of held keys for each
+    table; then the doomed keys from the root down, one set for each table as well. A row lost through several parents is lost once, and a row
+    that depends on a refused key goes if it also depends on an accepted one. Keys that the root does not have are ignored.
+    """
+    order = _parents_first(list(tables), root)
+    used = [k for k in FOREIGN_KEYS if k[0] in tables and k[2] in tables]
+    key_of = {p: key for _, _, p, key, _ in used}
+    below, grown = {root}, True  # tables that a deletion can reach
+    while grown:
+        more = {c for c, _, p, _, cascades in used if p in below and cascades} - below
+        below, grown = below | more, bool(more)
+
+    held: dict[str, DataFrame] = {}
+    for t in reversed(order):
+        sets = []
+        for child, col, parent, _, cascades in used:
+            if parent == t and t in below:
+                if not cascades:
+                    sets.append(tables[child].select(F.col(col).alias("key")))
+                elif child in held:
+                    rows = tables[child].join(held[child].withColumnRenamed("key", key_of[child]), key_of[child], "left_semi")
+                    sets.append(rows.select(F.col(col).alias("key")))
+        if sets:
+            held[t] = written(reduce(lambda x, y: x.union(y), sets).where("key IS NOT NULL").distinct(), "held")
+
+    asked = keys.select(F.col(keys.columns[0]).alias("key")).distinct()
+    refused = asked.join(held[root], "key", "left_semi") if root in held else asked.limit(0)
+    accepted = asked.join(held[root], "key", "left_anti") if root in held else asked
+    doomed, out = {root: written(accepted, "doomed")}, dict(tables)
+    out[root] = tables[root].join(doomed[root].withColumnRenamed("key", keys.columns[0]), keys.columns[0], "left_anti")
     for t in order:
-        for col, gone in lost.get(t, []):
-            out[t] = out[t].join(gone.select(F.col(gone.columns[0]).alias(col)), col, "left_anti")
-        for child, col, parent, key, cascades in FOREIGN_KEYS:
-            if parent == t and child in tables and cascades and t in lost:
-                for i, (hit, gone) in enumerate(lost[t]):
-                    same = gone.select(F.col(gone.columns[0]).alias(hit))
-                    doomed = same if hit == key else tables[t].join(same, hit, "left_semi").select(key)
-                    lost.setdefault(child, []).append((col, doomed))
-    return {t: out[t].select(*tables[t].columns) for t in tables}
+        if t == root or t not in below:
+            continue
+        marked, hits = tables[t], []
+        for i, (child, col, parent, _, cascades) in enumerate(used):
+            if child == t and parent in doomed and cascades:
+                marked = flag(marked, doomed[parent].withColumnRenamed("key", col), [col], f"_doomed{i}")
+                hits.append(F.col(f"_doomed{i}") == 1)
+        if hits:
+            out[t] = marked.where(~any_of(hits)).select(*tables[t].columns)
+            if any(p == t and cascades for _, _, p, _, cascades in used):
+                doomed[t] = written(marked.where(any_of(hits)).select(F.col(key_of[t]).alias("key")).distinct(), "doomed")
+    return {t: out[t].select(*tables[t].columns) for t in tables}, refused.withColumnRenamed("key", keys.columns[0])
 
 
 def audit_integrity(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations of unique and foreign keys as rows (table, rule, column, value, n)."""
-
-    def issue(df: DataFrame, table: str, rule: str, col: str) -> DataFrame:
-        return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(col).alias("column_name"), F.col(col).cast("string").alias("value"), "n")
-
-    found = []
-    for table, col in UNIQUE_KEYS:
-        if table in tables and col in tables[table].columns:
-            counts = tables[table].filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-            found.append(issue(counts.filter("n > 1"), table, "unique", col))
-    for child, col, parent, key, _ in FOREIGN_KEYS:
-        if child in tables and parent in tables:
-            used = tables[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-            orphans = used.join(tables[parent].select(F.col(key).alias(col)), col, "left_anti")
-            found.append(issue(orphans, child, "foreign_key", col))
-    return reduce(lambda a, b: a.unionByName(b), found)
+    """Violations of unique and foreign keys as rows (table, rule, column, value, n). Every table is read once.
+
+    A row of a table becomes a row for each of its keys: of the values that have to be unique, of those that refer to a parent, and of those
+    that children refer to. Equal ones are counted, first within each task; then a value's references and its parent meet. A value that most
+    rows have is one row of each task by then.
+    """
+    parents = {(p, key) for c, _, p, key, _ in FOREIGN_KEYS if c in tables and p in tables}
+    rows = []
+    for table, df in tables.items():
+        roles = [("unique", f"{table}.{col}", table, col, col) for t, col in UNIQUE_KEYS if t == table]
+        roles += [("foreign_key", f"{p}.{key}", table, col, col) for c, col, p, key, _ in FOREIGN_KEYS if c == table and p in tables]
+        roles += [("parent", f"{p}.{key}", table, key, key) for p, key in sorted(parents) if p == table]
+        roles = [r for r in roles if r[4] in df.columns]
+        if roles:
+            entry = [F.struct(*[F.lit(x).alias(n) for x, n in zip(r[:4], ("rule", "domain", "table_name", "column_name"), strict=True)], F.col(r[4]).cast("string").alias("value")) for r in roles]
+            rows.append(df.select(F.explode(F.array(*entry)).alias("e")).select("e.*"))
+    found = reduce(lambda a, b: a.unionByName(b), rows).where("value IS NOT NULL")
+    counts = found.groupBy("rule", "domain", "table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    columns = ["table_name", "rule", "column_name", "value", "n"]
+    # at most one row for each key of the schema meets at a value
+    met = counts.groupBy("domain", "value").agg(F.max(F.col("rule") == "parent").alias("_known"), F.collect_list(F.struct(*columns)).alias("_all"))
+    rows = met.select("_known", F.explode("_all").alias("x")).select("_known", "x.*")
+    return rows.where("(rule = 'unique' AND n > 1) OR (rule = 'foreign_key' AND NOT _known)").select(columns)
 
 
 def missing_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:

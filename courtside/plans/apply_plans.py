@@ -4,12 +4,14 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from courtside.functions.store import new_path
 from courtside.operators import applies as a
 from courtside.operators import booking as b
 from courtside.operators import quality as q
 from courtside.operators import social as s
 from courtside.plans.booking_plans import ALL
-from courtside.plans.registry import query
+from courtside.plans.registry import ORACLES, query
+from courtside.sources.buckets import BucketedTable
 
 FAV = "SELECT book_id AS event_id, time AS ts, user_id, trainer_id FROM books"
 
@@ -142,20 +144,23 @@ def _(m):
     return a.fan_out_posts(m.posts, m.follows)
 
 
-PAGE = "SELECT x.user_id, x.post_id FROM user_unseen_posts x JOIN posts p ON p.post_id = x.post_id JOIN users u ON u.user_id = p.user_id QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY p.time DESC, p.post_id DESC) <= 10"
+# Two thirds of the users read their feed. A post of an unknown author is not shown.
+SHOWN = "SELECT x.user_id, x.post_id FROM user_unseen_posts x JOIN users u ON u.user_id = x.post_id % 15 WHERE x.user_id % 3 <> 0"
 
 
 def _delivered(m):
-    feed = s.community_feed(m.user_unseen_posts, m.posts, m.users, m.likes, m.comments, m.post_img)
+    feed = s.community_feed(m.user_unseen_posts.where("user_id % 3 <> 0"), m.posts, m.users, m.likes, m.comments, m.post_img)
     return feed.select("user_id", "post_id")
 
 
-@query("w08_consume_feed", f"SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT DISTINCT user_id FROM ({PAGE})) d ON d.user_id = q.user_id WHERE d.user_id IS NULL")
+@query("w08_consume_feed", f"SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT DISTINCT user_id FROM ({SHOWN})) d ON d.user_id = q.user_id WHERE d.user_id IS NULL")
 def _(m):
     return a.consume_feed(m.user_unseen_posts, _delivered(m))
 
 
-@query("w08_consume_feed_delivered_only", f"SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT DISTINCT user_id, post_id FROM ({PAGE})) d ON d.user_id = q.user_id AND d.post_id = q.post_id WHERE d.user_id IS NULL")
+@query("w08_consume_feed_delivered_only", f"""
+WITH ranked AS (SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id DESC) AS rn FROM ({SHOWN}) x)
+SELECT q.user_id, q.post_id FROM user_unseen_posts q LEFT JOIN (SELECT user_id, post_id FROM ranked WHERE rn <= 10) d ON d.user_id = q.user_id AND d.post_id = q.post_id WHERE d.user_id IS NULL""")
 def _(m):
     return a.consume_feed(m.user_unseen_posts, _delivered(m), delivered_only=True)
 
@@ -252,6 +257,8 @@ def _(m):
 # canceled facility bookings were paid before, and some paid bookings are canceled later
 PAY = """SELECT event_id, ts, transaction_id, type, description FROM payment_events
 UNION ALL SELECT -event_id - 1, ts - INTERVAL '1' HOUR, 'early_' || CAST(event_id AS STRING), 'payment_intent.succeeded', description FROM payment_events WHERE type = 'payment_intent.canceled' AND description LIKE '%"trainer_id":null%'
+UNION ALL SELECT event_id + 900000000, ts, 'lost_' || CAST(event_id AS STRING), type,
+  '{"user_id":1,"facility_id":1,"trainer_id":1,"book_id":' || CAST(900000001 + event_id * 4 AS STRING) || '}' FROM payment_events WHERE type <> 'payment_intent.created' AND event_id % 9 = 0
 UNION ALL SELECT -event_id - 1, ts + INTERVAL '1' HOUR, 'late_' || CAST(event_id AS STRING), 'payment_intent.canceled', description FROM payment_events WHERE type = 'payment_intent.succeeded' AND description LIKE '%"facility_id":1%'"""
 PAID = f"""ev AS (SELECT *, CAST(regexp_extract(description, '"book_id":([0-9]+)', 1) AS BIGINT) AS book_id FROM ({PAY}) p),
 sm AS (SELECT book_id, min((ts, event_id, transaction_id)) FILTER (WHERE type = 'payment_intent.succeeded') AS pd, min((ts, event_id)) FILTER (WHERE type = 'payment_intent.canceled') AS gn,
@@ -359,17 +366,31 @@ def _(m):
     return bad.select("user_id", "email", F.array_join("failed", ",").alias("failed"))
 
 
-@query("w16_validate_dates", """
-SELECT facility_sessions_id, CASE WHEN start_time >= end_time THEN 'date_order' END AS failed FROM facility_sessions WHERE start_time >= end_time""")
+# every eleventh session begins as it ends, every thirteenth ends before, and every seventeenth has no beginning
+SESSIONS = """SELECT facility_sessions_id, CASE WHEN facility_sessions_id % 17 = 0 THEN NULL WHEN facility_sessions_id % 11 = 0 THEN end_time ELSE start_time END AS start_time,
+  CASE WHEN facility_sessions_id % 13 = 0 THEN start_time - INTERVAL '1' HOUR WHEN facility_sessions_id % 19 = 0 THEN NULL ELSE end_time END AS end_time FROM facility_sessions"""
+
+
+@query("w16_validate_dates", f"""
+SELECT facility_sessions_id, CASE WHEN start_time IS NOT NULL THEN 'date_order' WHEN end_time IS NULL THEN 'missing_start_time' ELSE 'missing_start_time,date_order' END AS failed
+FROM ({SESSIONS}) x WHERE start_time IS NULL OR start_time >= end_time""")
 def _(m):
-    bad = q.validate(m.facility_sessions, q.date_order("start_time", "end_time"))[1]
+    bad = q.validate(m.derive(SESSIONS), q.date_order("start_time", "end_time"))[1]
     return bad.select("facility_sessions_id", F.array_join("failed", ",").alias("failed"))
 
 
 CASCADE = ["users", "athletes", "parents", "children", "posts", "post_img", "likes", "comments", "comment_likes", "follows", "chats", "messages", "unseen_messages",
-           "notifications", "books", "facility_sessions", "trainer_sessions", "review_trainer", "review_trainer_img", "favorite_trainer", "token_management"]
-GONE = "SELECT t.user_id FROM token_management t JOIN blacklisted_token b ON b.refresh_token = t.token"
+           "notifications", "books", "book_facilities", "payments", "payments_facility", "facility_sessions", "trainer_sessions", "review_trainer", "review_trainer_img", "favorite_trainer", "token_management"]
+ASKED = "SELECT t.user_id FROM token_management t JOIN blacklisted_token b ON b.refresh_token = t.token"
+# payments refer to bookings without a cascade: whoever has paid for one, or has to, stays
+PAYERS = "SELECT user_id FROM books WHERE book_id IN (SELECT book_id FROM payments) UNION SELECT user_id FROM book_facilities WHERE book_facility_id IN (SELECT book_id FROM payments_facility)"
+GONE = f"SELECT x.user_id FROM ({ASKED}) x LEFT JOIN ({PAYERS}) k ON k.user_id = x.user_id WHERE k.user_id IS NULL"
+ROW_KEYS = {"likes": "like_id", "comment_likes": "comment_like_id", "follows": "follow_id", "favorite_trainer": "user_id * 1000000 + trainer_id", "token_management": "user_id", "unseen_messages": "unseen_message_id"} | {
+    "users": "user_id", "athletes": "athlete_id", "parents": "parent_id", "children": "child_id", "posts": "post_id", "post_img": "post_img_id", "comments": "comment_id", "chats": "chat_id",
+    "messages": "message_id", "notifications": "notification_id", "books": "book_id", "book_facilities": "book_facility_id", "payments": "book_id", "payments_facility": "book_id",
+    "facility_sessions": "facility_sessions_id", "trainer_sessions": "trainer_session_id", "review_trainer": "review_trainer_id", "review_trainer_img": "review_trainer_img_id"}
 SURVIVE = {
+    "book_facilities": "NOT IN_G(user_id)", "payments": "true", "payments_facility": "true",
     "users": "NOT IN_G(user_id)", "athletes": "NOT IN_G(user_id)", "parents": "NOT IN_G(user_id)", "children": "NOT IN_G(parent_id)", "posts": "NOT IN_G(user_id)",
     "post_img": "NOT IN_P(post_id)", "likes": "NOT IN_G(user_id) AND NOT IN_P(post_id)", "comments": "NOT IN_G(user_id) AND NOT IN_P(post_id)",
     "comment_likes": "NOT IN_G(user_id) AND comment_id NOT IN (SELECT comment_id FROM comments WHERE IN_G(user_id) OR IN_P(post_id))",
@@ -396,11 +417,12 @@ def _cascade_sql(rule):
 
 @query("w17_cascade_delete", f"WITH gone AS ({GONE}), gp AS (SELECT post_id FROM posts WHERE user_id IN (SELECT user_id FROM gone)), "
        "gc AS (SELECT chat_id FROM chats WHERE user_id IN (SELECT user_id FROM gone) OR friend_user_id IN (SELECT user_id FROM gone)) "
-       + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS survivors FROM {t} WHERE {_cascade_sql(r)}" for t, r in SURVIVE.items()))
+       + " UNION ALL ".join(f"SELECT '{t}' AS table_name, {ROW_KEYS[t]} AS row_key FROM {t} WHERE {_cascade_sql(r)}" for t, r in SURVIVE.items())
+       + f" UNION ALL SELECT 'refused', user_id FROM ({ASKED}) x WHERE user_id NOT IN (SELECT user_id FROM gone)")
 def _(m):
-    left = q.cascade_delete({t: getattr(m, t) for t in CASCADE}, "users", m.derive(GONE))
-    counts = [left[t].agg(F.count(F.lit(1)).alias("survivors")).select(F.lit(t).alias("table_name"), "survivors") for t in CASCADE]
-    return reduce(lambda x, y: x.unionByName(y), counts)
+    left, refused = q.cascade_delete({t: getattr(m, t) for t in CASCADE}, "users", m.derive(ASKED))
+    rows = [left[t].selectExpr(f"'{t}' AS table_name", f"{ROW_KEYS[t]} AS row_key") for t in CASCADE] + [refused.selectExpr("'refused' AS table_name", "user_id AS row_key")]
+    return reduce(lambda x, y: x.unionByName(y), rows)
 
 
 AUDIT = {"users": [("user_id", None, None)], "payments": [("book_id", "books", "book_id")], "comment_likes": [("comment_id", "comments", "comment_id"), ("user_id", "users", "user_id")],
@@ -579,3 +601,29 @@ def _(m):
 @query("g04_bookings_per_target", f"WITH {ALL} SELECT facility_id, trainer_id, time, count(*) AS n FROM allb GROUP BY ALL")
 def _(m):
     return b.all_bookings(m.books, m.book_facilities).groupBy("facility_id", "trainer_id", "time").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The same batches on snapshots in key buckets, each in two parts by a hash of the key
+
+
+def _bucketed(m, snapshot, key, events, change):
+    table = BucketedTable.create(snapshot, new_path(m.spark, "snapshot"), key, 8)
+    for part in (0, 1):
+        table.apply(part, events.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(2)) == part), change)
+    return table.read()
+
+
+BUCKETED = {
+    "w03_unlike": lambda m: _bucketed(m, m.likes, "user_id", m.like_actions.filter("action = 'remove'"), lambda old, e: a.apply_deletes(old, e, ["user_id", "post_id"])),
+    "w04_toggle_likes": lambda m: _bucketed(m, m.derive("SELECT DISTINCT user_id, post_id + 50 AS post_id FROM comments"), "user_id", m.like_actions, lambda old, e: a.apply_toggles(old, e, ["user_id", "post_id"])),
+    "w05_facility_edits": lambda m: _bucketed(m, m.facilities, "facility_id", m.derive(EDITS), lambda old, e: a.apply_updates(old, e, "facility_id", ["hourly_rate", "name"], owner="facilitator_id")),
+    "w06_replace_trainer_hours": lambda m: _bucketed(m, m.trainer_availability_hours.drop("trainer_availability_hour_id"), "trainer_id", m.derive(BATCHES), lambda old, e: a.replace_children(old, e, "trainer_id")),
+    "w12_mark_read": lambda m: _bucketed(
+        m, m.notifications, "user_id", m.derive(READ_ID).withColumn("day", F.lit(None).cast("date")).unionByName(m.derive(READ_DAY), allowMissingColumns=True),
+        lambda old, e: a.mark_read(old, e.where("notification_id IS NOT NULL"), e.where("day IS NOT NULL").select("user_id", "day"))),
+    "w13_set_chat_status": lambda m: _bucketed(m, m.chats, "chat_id", m.derive(STATUS), a.set_chat_status),
+    "w14_reset_unread": lambda m: _bucketed(m, m.chats, "user_id", m.derive(READS), a.reset_unread),
+}
+for _name, _run in BUCKETED.items():
+    query(f"{_name}_buckets")(_run)
+    ORACLES[f"{_name}_buckets"] = ORACLES[_name]

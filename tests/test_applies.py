@@ -198,10 +198,51 @@ def test_cascade_follows_chains(spark):
         "comments": spark.createDataFrame([(100, 2, 10), (200, 2, 20), (300, 1, 20)], "comment_id INT, user_id INT, post_id INT"),
         "comment_likes": spark.createDataFrame([(1, 2, 100), (2, 2, 200), (3, 2, 300), (4, 1, 200)], "comment_like_id INT, user_id INT, comment_id INT"),
     }
-    left = q.cascade_delete(t, "users", spark.createDataFrame([(1,)], "user_id INT"))
+    left, refused = q.cascade_delete(t, "users", spark.createDataFrame([(1,)], "user_id INT"))
+    assert refused.count() == 0
     assert {k: [r[0] for r in v.collect()] for k, v in left.items()} == {"users": [2], "posts": [20], "comments": [200], "comment_likes": [2]}
 
 
+def test_keys_that_are_referred_to_without_cascade_are_refused(spark):
+    t = {
+        "users": spark.createDataFrame([(i,) for i in range(1, 6)], "user_id INT"),
+        "trainers": spark.createDataFrame([(7, 3)], "trainer_id INT, user_id INT"),
+        "books": spark.createDataFrame([(10, 1, None), (20, 2, 7), (30, 4, None)], "book_id INT, user_id INT, trainer_id INT"),
+        "payments": spark.createDataFrame([(20, 5)], "book_id INT, total_amount INT"),
+        "chats": spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 4, 5)], "chat_id INT, user_id INT, friend_user_id INT"),
+        "messages": spark.createDataFrame([(100, 1), (200, 2), (300, 3)], "message_id INT, chat_id INT"),
+    }
+    # 2 booked and 3 trains what is paid for; the chat of 1 and 2 goes with 1, that of 2 and 3 stays
+    left, refused = q.cascade_delete(t, "users", spark.createDataFrame([(1,), (2,), (3,), (99,)], "user_id INT"))
+    assert rows(refused, "user_id") == [(2,), (3,)]
+    assert {k: sorted(r[0] for r in v.collect()) for k, v in left.items()} == {"users": [2, 3, 4, 5], "trainers": [7], "books": [20, 30], "payments": [20], "chats": [2, 3], "messages": [200, 300]}
+    without = {k: v for k, v in t.items() if k != "payments"}
+    left, refused = q.cascade_delete(without, "users", spark.createDataFrame([(2,), (3,)], "user_id INT"))
+    assert refused.count() == 0 and rows(left["books"], "book_id") == [(10,), (30,)] and rows(left["messages"], "message_id") == [(300,)]
+
+
+def test_audit_reads_every_table_once(spark, tmp_path):
+    from courtside.sources.schemas import schemas
+
+    from pyspark.sql.types import StructField, StructType
+
+    tables, shapes = {}, {n: StructType([StructField(f.name, f.dataType) for f in s.fields]) for n, s in schemas().items()}
+    for name, schema in shapes.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.schema(schema).parquet(f"{tmp_path}/{name}")
+    fill = {"users": [{"user_id": 1, "email": "a"}, {"user_id": 2, "email": "a"}], "posts": [{"post_id": 1, "user_id": 1}, {"post_id": 2, "user_id": 9}, {"post_id": 3, "user_id": 9}, {"post_id": 4, "user_id": None}]}
+    for name, records in fill.items():
+        schema = shapes[name]
+        spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in records], schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.schema(schema).parquet(f"{tmp_path}/{name}")
+    found = q.audit_integrity(tables)
+    assert rows(found) == [("posts", "foreign_key", "user_id", "9", 2), ("users", "unique", "email", "a", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    read = sum(1 for line in plan.splitlines() if "Relation [" in line)
+    audited = {t for k in q.FOREIGN_KEYS for t in (k[0], k[2])} | {t for t, _ in q.UNIQUE_KEYS}
+    assert read == len(audited & set(tables))
+
+
 def test_validation_names_every_failed_rule(spark):
     df = spark.createDataFrame([("monday", "09:00:00", "10:00:00", 1), ("funday", "9", "08:00:00", 3), ("friday", None, None, 1), ("friday", None, None, 0), ("friday", "09:00:00", "10:00:00", 0)],
                                "week_day STRING, start_time STRING, end_time STRING, available INT")

@@ -102,6 +102,41 @@ def test_html_cleaning(html, clean):
     assert x.clean_html_text(html) == clean
 
 
+def test_html_cleaning_is_linear_and_equals_a_plain_stack():
+    import random
+    import time
+
+    class Plain(x._Cleaner):
+        """Looks through the whole stack each time."""
+
+        def handle_endtag(self, tag):
+            if tag in self.open:
+                while self.open and self.open[-1] != tag:
+                    self._close_top()
+                self._close_top()
+            elif tag == "p":
+                self.out.append("<p></p>")
+            elif tag == "br":
+                self.out.append("<br />")
+
+        def handle_data(self, data):
+            if not any(t in x.TEXTLESS_TAGS for t in self.open):
+                self.out.append(x.escape(data, quote=False))
+
+    r = random.Random(5)
+    for _ in range(300):
+        html = "".join(r.choice(["<p>", "</p>", "<b>", "</b>", "<li>", "</li>", "<script>", "</script>", "<br>", "</br>", "<ul>", "</ul>", "t & u", "<a href='x'>", "</a>"]) for _ in range(40))
+        twin = Plain()
+        twin.feed(html)
+        twin.close()
+        while twin.open:
+            twin._close_top()
+        assert x.clean_html_text(html) == "".join(twin.out)
+    start = time.time()
+    assert x.clean_html_text("<li>a</b>" * 200_000) == "a" * 200_000
+    assert time.time() - start < 10
+
+
 def test_html_column_keeps_nulls_and_whole_texts(spark):
     long = "<b>" + "word " * 50000 + "</b>"
     df = spark.createDataFrame([(None,), (long,)], "h STRING").select(x.clean_html("h").alias("h"))
