@@ -52,6 +52,7 @@ MAPPINGS = [
     Mapping("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction_input", ("instruction", "input", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("system_instruction", ("system", "instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("system_instruction_input", ("system", "instruction", "input", "output"), fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("completion", ("prompt", "completion"), fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
 ]
@@ -124,12 +125,18 @@ def turns_of_table(records: DataFrame, id_col: str, mappings: list[Mapping] = MA
 def turns_of_json(records: DataFrame, id_col: str, json_col: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """``id_col``, ``layout`` and ``turns`` of JSON records of mixed layouts, each recognised by the hash of its own field paths.
 
-    A null, a text that is no JSON and a record of unknown layout have a null layout and null turns. Elements of an array count by the first.
+    A null, a text that is no JSON and a record of unknown layout have a null layout and null turns (see ``rows_and_rest``). The paths of an
+    array are those of all its elements together, so a first message without content hides nothing; an empty array fits every mapping
+    of its elements and gives no turns.
     """
     rows = records.select(id_col, F.try_parse_json(json_col).alias("v"))
 
     def there(path: str) -> Column:
-        return F.try_variant_get("v", "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+        array, inside, rest = path.partition("[].")
+        if not inside:
+            return F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
+        elements = F.try_variant_get("v", f"$.{array}", "array<variant>")
+        return (F.size(elements) == 0) | F.exists(elements, lambda e: F.try_variant_get(e, f"$.{rest}", "variant").isNotNull())
 
     found = F.filter(F.array(*[F.when(there(p), F.lit(p)) for p in _named(mappings)]), lambda p: p.isNotNull())
     rows = rows.withColumn("fingerprint", fingerprint(found))
@@ -180,11 +187,24 @@ def format_rows(rows: DataFrame, id_col: str = "conv_id", loss_role: str = "assi
 
 
 def rows_of_turns(records: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``id_col``, turn, role, text from records with ``turns``; the turns of a record are numbered from 0."""
+    """Rows of ``id_col``, turn, role, text from records with ``turns``; the turns of a record are numbered from 0.
+
+    Records without turns have no rows; ``rows_and_rest`` names them.
+    """
     turns = records.select(id_col, F.posexplode("turns").alias("turn", "t"))
     return turns.select(id_col, F.col("turn").cast("bigint").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
+def rows_and_rest(records: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``rows_of_turns``, and what they leave out: ``id_col``, ``layout`` and ``reason`` of every record without turns.
+
+    The reason is ``unknown layout`` (no mapping has the record's fingerprint, or it is no record) or ``no turns``.
+    """
+    rest = records.where(F.col("turns").isNull() | (F.size("turns") == 0))
+    reason = F.when(F.col("layout").isNull(), "unknown layout").otherwise("no turns")
+    return rows_of_turns(records, id_col), rest.select(id_col, "layout", reason.alias("reason"))
+
+
 def turn_rows(table: DataFrame, id_col: str, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
     """Rows of ``id_col``, turn, role, text of a table in any known layout, by the hash of its field paths; none if the layout is unknown."""
     mapping = mapping_for(T.StructType([f for f in table.schema if f.name != id_col]), mappings)

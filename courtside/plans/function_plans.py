@@ -15,8 +15,9 @@ from courtside.plans.profile_plans import FACE
 from courtside.plans.registry import AS_OF, query
 from courtside.plans.social_plans import LATEST
 from courtside.sources.payloads import read_requests
-from courtside.sources.sinks import page_envelope
-from courtside.sources.tables import load_tables
+from courtside.sources.schemas import schemas
+from courtside.sources.sinks import append_rows, page_envelope
+from courtside.sources.tables import conform, load_tables, save_tables
 
 
 @query("s01_load_tables", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
@@ -24,6 +25,21 @@ def _(m):
     return load_tables(m.spark, m.path, {"lineitem": "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE"})["lineitem"]
 
 
+@query("s02_table_schemas", "SELECT follow_id, follower_user_id, followed_user_id, notification_status FROM follows")
+def _(m):
+    folder = new_path(m.spark, "tables")
+    save_tables({"follows": conform(m.follows, schemas()["follows"])}, folder, {"follows": ("followed_user_id", 4)})
+    return load_tables(m.spark, folder, {"follows": schemas()["follows"]})["follows"].select("follow_id", "follower_user_id", "followed_user_id", "notification_status")
+
+
+@query("s07_append_rows", "SELECT like_id, user_id, post_id, like_id % 2 AS part FROM likes")
+def _(m):
+    path = new_path(m.spark, "appended")
+    for part in (0, 1):
+        append_rows(m.likes.where(F.col("like_id") % 2 == part).withColumn("part", F.lit(part)), path, "part")
+    return m.spark.read.parquet(path).select("like_id", "user_id", "post_id", "part")
+
+
 @query("s03_read_requests", """
 SELECT user_id, latitude, longitude, 1 AS page FROM users""")
 def _(m):

@@ -19,6 +19,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 BATCHES = 5
+PARTS = 8  # partitions of the state of these small streams
 
 
 def _stage(df, name):
@@ -46,14 +47,16 @@ def _drain(stream, name, mode="append"):
 
 @contextmanager
 def _rocks(spark):
-    """The state store that processors with state of their own need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    """The state store that processors with state of their own need, in PARTS partitions: their number is fixed for a stream's life."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(PARTS)}
+    old = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 STATE = """SELECT user_id, arg_max(event = 'connect_user', (ts, event_id)) AS online, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id

@@ -66,3 +66,33 @@ def test_layouts_of_tables(spark):
     assert paths == chats.digest(["a", "b"])
     out = chats.read_back(chats.format_rows(chats.rows_of_turns(rows[0], "id"), "id"), "id").first()
     assert out["learned"] == ["a"]
+
+
+def test_no_record_vanishes(spark):
+    records = {
+        1: {"messages": [{"role": "user"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        2: {"messages": []},
+        3: {"system": "s", "instruction": "i", "input": "n", "output": "o"},
+        4: {"odd": 1},
+        5: {"instruction": "", "output": ""},
+        6: {"conversations": [{"value": "x"}, {"from": "human"}]},
+    }
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records.items()] + [(7, None)], "id bigint, j string")
+    rows, rest = chats.rows_and_rest(chats.turns_of_json(df, "id", "j"), "id")
+    got = {}
+    for r in sorted(rows.collect()):
+        got.setdefault(r["id"], []).append((r["role"], r["text"]))
+    assert got == {
+        1: [("user", None), ("user", "q"), ("assistant", "a")], 3: [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")],
+        6: [(None, "x"), ("user", None)],
+    }
+    assert {r["id"]: (r["layout"], r["reason"]) for r in rest.collect()} == {
+        2: ("messages", "no turns"), 4: (None, "unknown layout"), 5: ("instruction", "no turns"), 7: (None, "unknown layout"),
+    }
+
+
+def test_very_long_texts(spark):
+    long = "<\\x" * 700_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "!")], "conv_id bigint, turn bigint, role string, text string")
+    got = chats.read_back(chats.format_rows(df)).first()
+    assert got["learned"] == [long + "!"] and got["turns"][0]["text"] == long
