@@ -2,11 +2,12 @@
 
 Both classes have an interpolated Kneser-Ney model: discounted counts of a pair (documents that have it), then of the contexts that a word
 follows, then of the contexts of all words that begin like it (four bytes), then the shared backoff: contexts counted over both classes
-together. An expression has a class-specific part only if it is seen
-``RARE`` times or more, more often in one class than chance explains (a G-test), and by a factor of ``FACTOR``; any other one, and so every
-rare one, takes the probability of the level below, in the end the shared one, and weighs the same for either class.
+together. A ``Gate`` says which expressions have a class-specific part: by default those seen five times or more, more often in one class
+than chance explains (a G-test), and by a factor of six; any other one, and so every rare one, takes the probability of the level below,
+in the end the shared one, and weighs the same for either class. ``PLAIN`` lets all expressions have their parts, which is the plain
+interpolated model. (With a gate the terms of a class need not sum to one: the score is a likelihood ratio with a selected vocabulary.)
 
-Counts are Spark aggregations over all labelled documents. The log-likelihood ratio of a text is a sum of terms that depend on one beginning,
+Counts are Spark aggregations over all labelled documents but the bounded sample that the curve is fitted on. The log-likelihood ratio of a text is a sum of terms that depend on one beginning,
 word or pair; these terms are computed in Spark and sent to the scan of the documents in blocks of at most ``BLOCK_TERMS``. The ratio per word
 becomes a probability by a logistic curve fitted on labelled documents that were not counted.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courtside.functions.common import salted_join
 from courtside.functions.store import new_path
 from courtside.llm.blocks import BASE, find_words, hash_words, mixed, text_blocks, text_bytes
 from courtside.llm.labelled import labelled, labelled_sample
 
-RARE = 5
-CHANCE = 15.0  # of the G statistic: about one expression in 10,000 exceeds it by chance
-FACTOR = 6.0
+
+
+@dataclass(frozen=True)
+class Gate:
+    """What an expression needs for a class-specific part. ``rare``: uses in both classes together, ``chance``: the G statistic (15: about one
+    expression in 10,000 exceeds it by chance), ``factor``: how much likelier it has to be in one class than in the other."""
+
+    rare: int = 5
+    chance: float = 15.0
+    factor: float = 6.0
+
+
+GATE = Gate()
+PLAIN = Gate(rare=1, chance=0.0, factor=1.0)
 BLOCK_TERMS = 4_000_000  # terms in one pass over the documents (16 bytes each)
 CALIBRATED = 2000  # documents of either label that the logistic curve is fitted on
 START = np.uint64(1)  # the context of a first word
@@ -61,7 +75,7 @@ def pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(before * BASE + words)
 
 
-def count_expressions(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
+def count_expressions(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, gate: Gate = GATE) -> DataFrame:
     """``kind``, ``h``, ``w`` and counts over the labelled documents of either class: ``toxic`` and ``plain``, ``toxic_kinds``, ``plain_kinds``.
 
     PAIR: documents that have the pair, for pairs that are not rare. WORD: contexts that w follows. CONTEXT: pairs that begin with h, and
@@ -89,14 +103,14 @@ def count_expressions(docs: DataFrame, labels: DataFrame, label: str, id_col: st
         return F.struct(F.lit(kind).alias("kind"), h.alias("h"), w.alias("w"), *[n.cast("bigint").alias(c) for c, n in zip(names, numbers, strict=True)])
 
     each = F.array(
-        row(WORD, none, w, t > 0, o > 0, none, none), row(CONTEXT, h, none, t, o, t > 0, o > 0), F.when(t + o >= RARE, row(PAIR, h, w, t, o, none, none)),
+        row(WORD, none, w, t > 0, o > 0, none, none), row(CONTEXT, h, none, t, o, t > 0, o > 0), F.when(t + o >= gate.rare, row(PAIR, h, w, t, o, none, none)),
         *[F.when((t == k) | (o == k), row(SEEN, none, F.lit(k).cast("bigint"), t == k, o == k, none, none)) for k in (1, 2)],
     )
     rows = counted.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("r")).select("r.*")
     return rows.groupBy("kind", "h", "w").agg(*[F.sum(c).alias(c) for c in ("toxic", "plain", "toxic_kinds", "plain_kinds")])
 
 
-def model_terms(counts: DataFrame) -> DataFrame | None:
+def model_terms(counts: DataFrame, gate: Gate = GATE) -> DataFrame | None:
     """``kind``, ``h``, ``w``, ``value``: parts of log P(w | h, toxic) - log P(w | h, plain). None unless both classes have words.
 
     A text's ratio is the sum of the STEM and WORD terms of its words and the PAIR terms of its pairs.
@@ -118,17 +132,17 @@ def model_terms(counts: DataFrame) -> DataFrame | None:
     low = {c: discount(row[f"{c}1"], row[f"{c}2"]) for c in sides}
     high = {c: discount(*[seen[k][c] if k in seen else 0 for k in (1, 2)]) for c in sides}
     everything = sum(total.values())
-    stem, specific = F.shiftrightunsigned("w", 32).alias("stem"), differs(total["toxic"], total["plain"])
+    stem, specific = F.shiftrightunsigned("w", 32).alias("stem"), differs(total["toxic"], total["plain"], gate)
     # How much likelier than in the shared model a specific beginning is in a class. Others have no row: few are left to be joined.
     lift = {c: (F.greatest(F.col(c) - low[c], F.lit(0.0)) / total[c] + low[c] * row[f"{c}_kinds"] / total[c] * (F.col("toxic") + F.col("plain")) / everything) / ((F.col("toxic") + F.col("plain")) / everything) for c in sides}
     stems = words.groupBy(stem).agg(*[F.sum(c).alias(c) for c in sides]).where(specific).select("stem", *[lift[c].alias(f"lift_{c}") for c in sides])
     shared = (F.col("toxic") + F.col("plain") + 0.5) / (everything + 0.5 * (row["words"] + 1))
     below = {c: shared * F.col(f"lift_{c}") for c in sides}
     at_word = {c: F.greatest(F.col(c) - low[c], F.lit(0.0)) / total[c] + low[c] * row[f"{c}_kinds"] / total[c] * below[c] for c in sides}
-    words = words.withColumn("stem", stem).join(stems, "stem", "left").fillna(1.0, [f"lift_{c}" for c in sides]).select("w", "lift_toxic", "lift_plain", *[F.when(specific, at_word[c]).otherwise(below[c]).alias(f"p_{c}") for c in sides])
+    words = salted_join(words.withColumn("stem", stem), stems, "stem", ["w"], how="left").fillna(1.0, [f"lift_{c}" for c in sides]).select("w", "lift_toxic", "lift_plain", *[F.when(specific, at_word[c]).otherwise(below[c]).alias(f"p_{c}") for c in sides])
 
     uses = counts.where(F.col("kind") == CONTEXT).agg(*[F.sum(c).alias(c) for c in sides]).first()
-    pairs = counts.where((F.col("kind") == PAIR) & differs(uses["toxic"], uses["plain"])).select("h", "w", *sides)
+    pairs = counts.where((F.col("kind") == PAIR) & differs(uses["toxic"], uses["plain"], gate)).select("h", "w", *sides)
     contexts = counts.where(F.col("kind") == CONTEXT).select("h", *[F.col(x).alias(f"h_{x}") for c in sides for x in (c, f"{c}_kinds")])
     at_pair = {
         c: F.when(F.col(f"h_{c}") > 0, (F.greatest(F.col(c) - high[c], F.lit(0.0)) + high[c] * F.col(f"h_{c}_kinds") * F.col(f"p_{c}")) / F.col(f"h_{c}")).otherwise(F.col(f"p_{c}"))
@@ -148,12 +162,12 @@ def model_terms(counts: DataFrame) -> DataFrame | None:
     return terms.where(F.abs("value") > 1e-6)
 
 
-def differs(toxic: float, plain: float) -> Column:
-    """Whether the columns ``toxic`` and ``plain`` of an expression differ, given the totals of the classes, by FACTOR and more than chance."""
+def differs(toxic: float, plain: float, gate: Gate = GATE) -> Column:
+    """Whether the columns ``toxic`` and ``plain`` of an expression differ, given the totals of the classes, as far as the gate asks for."""
     n, share = F.col("toxic") + F.col("plain"), toxic / (toxic + plain)
     sides = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * q))).otherwise(0.0) for c, q in (("toxic", share), ("plain", 1 - share))]
     rate = (F.col("toxic") + 0.5) / toxic / ((F.col("plain") + 0.5) / plain)
-    return (n >= RARE) & (2 * (sides[0] + sides[1]) >= CHANCE) & ((rate >= FACTOR) | (rate <= 1 / FACTOR))
+    return (n >= gate.rare) & (2 * (sides[0] + sides[1]) >= gate.chance - 1e-9) & ((rate >= gate.factor) | (rate <= 1 / gate.factor))
 
 
 class Terms:
@@ -220,26 +234,30 @@ def fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
     return float(max(beta[0], 0) / scale), float(beta[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", gate: Gate = GATE) -> DataFrame:
     """Per row: ``id_col``, ``ratio`` (log-likelihood ratio per word) and ``score``, the probability of label 1.
 
-    ``labels`` has ``id_col`` and ``label`` once per id; four fifths (by a hash of the id) are counted, the others fit the curve. A null or
+    ``labels`` has ``id_col`` and ``label`` once per id; of a fifth (by a hash of the id) at most CALIBRATED ids of either label fit the curve, and
+    all others are counted. A null or
     empty text has ratio 0. Rows with equal ids each get a row, other columns are not read. Without labels of both kinds every score is the
     share of label 1 (0.5 without any label), and every ratio 0.
     """
     spark = docs.sparkSession
     share = labels.agg(F.avg(label)).first()[0]
-    counted = F.pmod(F.xxhash64(id_col), F.lit(5)) != 0
+    fifth = labels.where(F.pmod(F.xxhash64(id_col), F.lit(5)) == 0)
+    held = [fifth.where(F.col(label) == v).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATED) for v in (0, 1)]
+    held = held[0].union(held[1])  # at most 2 * CALIBRATED rows
     path = new_path(spark, "expressions")
-    count_expressions(docs, labels.where(counted), label, id_col, text_col).write.parquet(path)
-    terms = model_terms(spark.read.parquet(path))
+    counted = labels.join(F.broadcast(held.select(id_col)), id_col, "left_anti")
+    count_expressions(docs, counted, label, id_col, text_col, gate).write.parquet(path)
+    terms = model_terms(spark.read.parquet(path), gate)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if terms is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("ratio"), F.lit(0.5 if share is None else float(share)).alias("score"))
     path = new_path(spark, "terms")
     terms.write.parquet(path)
     terms = spark.read.parquet(path)
-    sample = ratios(labelled_sample(docs, labels.where(~counted), label, CALIBRATED, id_col, text_col), terms).select("ratio", "label").collect()
+    sample = ratios(labelled_sample(docs, held, label, CALIBRATED, id_col, text_col), terms).select("ratio", "label").collect()
     x, y = np.array([r["ratio"] for r in sample]), np.array([r["label"] for r in sample])
     slope, offset = fit_curve(x, y, float(share)) if len(set(y.tolist())) == 2 else (1.0, math.log(max(share, 0.01) / max(1 - share, 0.01)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("ratio") * slope + offset))))

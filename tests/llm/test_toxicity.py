@@ -60,7 +60,7 @@ def test_counts_against_brute_force(spark):
         for key in set(zip(b.view(np.int64).tolist(), w.view(np.int64).tolist(), strict=True)):
             pairs.setdefault(key, [0, 0])[truth[i]] += 1
     got = {(r["h"], r["w"]): [r["plain"], r["toxic"]] for r in counts if r["kind"] == x.PAIR}
-    assert got == {k: v for k, v in pairs.items() if sum(v) >= x.RARE}
+    assert got == {k: v for k, v in pairs.items() if sum(v) >= x.GATE.rare}
     contexts = {}
     for (_, w), (plain, toxic) in pairs.items():
         c = contexts.setdefault(w, [0, 0])
@@ -88,3 +88,82 @@ def test_many_labels_are_shuffled(spark, monkeypatch):
     sent = sorted(map(tuple, labelled.labelled(docs, known, "toxic").collect()))
     monkeypatch.setattr(labelled, "SENT_ROWS", 1)
     assert sent == sorted(map(tuple, labelled.labelled(docs, known, "toxic").collect())) and len(sent) == 121
+
+
+def twin(pairs, gate):
+    """Terms of the models by the formulas, in plain Python: pairs -> documents of (plain, toxic) that have them."""
+    import math
+    from collections import defaultdict
+
+    sides = (1, 0)  # toxic, plain
+    word, uses, kinds = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (h, w), n in pairs.items():
+        for c in sides:
+            word[w][c] += n[c] > 0
+            uses[h][c] += n[c]
+            kinds[h][c] += n[c] > 0
+    total = [sum(v[c] for v in word.values()) for c in (0, 1)]
+    pair_total = [sum(v[c] for v in uses.values()) for c in (0, 1)]
+
+    def discount(counts):
+        one, two = counts.count(1), counts.count(2)
+        return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
+
+    low = [discount([v[c] for v in word.values()]) for c in (0, 1)]
+    high = [discount([v[c] for v in pairs.values()]) for c in (0, 1)]
+    n_kinds = [sum(v[c] > 0 for v in word.values()) for c in (0, 1)]
+
+    def specific(n, totals):
+        q = totals[1] / sum(totals)
+        g = 2 * sum(n[c] * math.log(n[c] / (sum(n) * (q if c else 1 - q))) for c in sides if n[c])
+        rate = (n[1] + 0.5) / totals[1] / ((n[0] + 0.5) / totals[0])
+        return sum(n) >= gate.rare and g >= gate.chance - 1e-9 and (rate >= gate.factor or rate <= 1 / gate.factor)
+
+    stem = lambda w: (w & (1 << 64) - 1) >> 32
+    stems = defaultdict(lambda: [0, 0])
+    for w, n in word.items():
+        for c in sides:
+            stems[stem(w)][c] += n[c]
+    lift = {}
+    for s, n in stems.items():
+        if specific(n, total):
+            base = sum(n) / sum(total)
+            lift[s] = [(max(n[c] - low[c], 0) / total[c] + low[c] * n_kinds[c] / total[c] * base) / base for c in (0, 1)]
+    terms, p = {(x.STEM, 0, s): math.log(v[1]) - math.log(v[0]) for s, v in lift.items()}, {}
+    for w, n in word.items():
+        shared = (sum(n) + 0.5) / (sum(total) + 0.5 * (len(word) + 1))
+        up = lift.get(stem(w), [1.0, 1.0])
+        below = [shared * up[c] for c in (0, 1)]
+        p[w] = [max(n[c] - low[c], 0) / total[c] + low[c] * n_kinds[c] / total[c] * below[c] for c in (0, 1)] if specific(n, total) else below
+        terms[x.WORD, 0, w] = math.log(p[w][1] / p[w][0]) - math.log(up[1] / up[0])
+    for (h, w), n in pairs.items():
+        if sum(n) >= gate.rare and specific(n, pair_total):
+            q = [(max(n[c] - high[c], 0) + high[c] * kinds[h][c] * p[w][c]) / uses[h][c] if uses[h][c] else p[w][c] for c in (0, 1)]
+            terms[x.PAIR, h, w] = math.log(q[1] / q[0]) - math.log(p[w][1] / p[w][0])
+    return {k: v for k, v in terms.items() if abs(v) > 1e-6}
+
+
+def test_model_terms_against_the_formulas(spark):
+    rows, labels = corpus(80, seed=6)
+    truth, pairs = dict(labels), {}
+    for i, text in rows:
+        w, b, _ = x.expressions(pa.array([text]))
+        for key in set(zip(b.view(np.int64).tolist(), w.view(np.int64).tolist(), strict=True)):
+            pairs.setdefault(key, [0, 0])[truth[i]] += 1
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    for gate in (x.GATE, x.PLAIN, x.Gate(2, 3.0, 2.0)):
+        counts = x.count_expressions(docs_frame(spark, rows), known, "toxic", "doc_id", "text", gate)
+        got = {(r["kind"], r["h"], r["w"]): r["value"] for r in x.model_terms(counts, gate).collect()}
+        want = twin(pairs, gate)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert len(got) > (1000 if gate == x.PLAIN else 0)
+
+
+def test_only_the_sample_of_the_curve_is_not_counted(spark, monkeypatch):
+    rows, labels = corpus(300)
+    seen = []
+    monkeypatch.setattr(x, "CALIBRATED", 5)
+    original = x.count_expressions
+    monkeypatch.setattr(x, "count_expressions", lambda docs, known, *a: (seen.append(known.count()), original(docs, known, *a))[1])
+    x.score_toxicity(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count()
+    assert seen == [290]
