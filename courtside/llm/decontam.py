@@ -63,8 +63,8 @@ def walk_numbers(length: int, first: int, steps: int) -> np.ndarray:
 
     The highest bit of factor * h + addend, h a hash of a symbol, says whether a walk moves on.
     """
-    out = np.random.default_rng((length, first)).integers(0, 1 << 64, (2, WALKS, steps), np.uint64)
-    out[0] |= np.uint64(1)
+    out = np.random.default_rng((length, first)).integers(0, 1 << 32, (2, WALKS, steps), np.uint32)
+    out[0] |= np.uint32(1)
     return out
 
 
@@ -83,7 +83,7 @@ class Sized:
         # Symbols of this length's items; all others count as one, 0. The end of a window is the last.
         self.compact = np.cumsum(self.known) * self.known
         self.end = int(self.compact.max()) + 1
-        self.hashes = mixed(np.arange(1, self.end + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.hashes = (mixed(np.arange(1, self.end + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         self.places, self.walks, self.keys = np.zeros((0, SAMPLED), np.int64), [], []
         tried, origin, kind = self.edited(random)
         found = np.zeros(len(tried), bool)
@@ -137,21 +137,21 @@ class Sized:
     def embed(self, windows: np.ndarray, first: int = 0) -> np.ndarray:
         """Embedded strings of the walks of a round, ``first`` and those behind it: walk, step, window."""
         n = len(windows)
-        padded = np.concatenate([windows, np.full((n, 1), self.end, windows.dtype)], 1).reshape(-1)
+        padded = np.concatenate([windows, np.full((n, 1), self.end, windows.dtype)], 1).reshape(-1).astype(np.int32)
         hashes, (factor, addend) = self.hashes[padded], self.walks[first // WALKS]
         begin = np.arange(n) * (self.length + 1)
         last = begin + self.length
-        out = np.empty((WALKS, self.steps, n), np.int32)
-        with np.errstate(over="ignore"):
-            for w in range(WALKS):
-                cursor = begin.copy()
-                for j in range(self.steps):
-                    out[w, j] = padded[cursor]
-                    step = hashes[cursor]
-                    step *= factor[w, j]
-                    step += addend[w, j]
-                    cursor += (step >> np.uint64(63)).view(np.int64)
-                    np.minimum(cursor, last, out=cursor)
+        out, step = np.empty((WALKS, self.steps, n), np.int32), np.empty(n, np.uint32)
+        for w in range(WALKS):
+            cursor = begin.copy()
+            for j in range(self.steps):
+                np.take(padded, cursor, out=out[w, j], mode="clip")
+                np.take(hashes, cursor, out=step, mode="clip")
+                step *= factor[w, j]
+                step += addend[w, j]
+                step >>= np.uint32(31)
+                np.add(cursor, step, out=cursor, casting="unsafe")
+                np.minimum(cursor, last, out=cursor)
         return out
 
     def key(self, embedded: np.ndarray, repetition: int) -> np.ndarray:

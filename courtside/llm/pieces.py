@@ -13,7 +13,7 @@ import codecs
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from courtside.llm.blocks import text_blocks
 
 SPACE = "▁"
-CACHED = 400_000  # stretches in each of the two generations that a worker remembers
+CACHED = 300_000  # stretches in each of the two generations that a worker remembers
+KEPT = 100_000  # of them, what it keeps from one task to the next
 SHORT = 32  # symbols of a stretch whose agenda is a matrix row
 NEVER = np.int32(1 << 30)
 NUMBER = np.int32  # of a piece
@@ -274,6 +275,10 @@ class Encoder:
                 i, ids = next((i, x) for i, x in zip(rows.tolist(), theirs, strict=True) if before + own[i] != x)
                 raise ValueError(f"{new[i]!r} gives {own[i]}, the library gives {ids}")
 
+    def rest(self) -> None:
+        """Gives back most of the memory between tasks."""
+        self.older, self.known = {}, dict(islice(self.known.items(), KEPT))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = list(map(self.vocabulary.stretches, texts))
         flat = list(chain.from_iterable(cut))
@@ -311,6 +316,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             decoded = [encoder.vocabulary.decode(x.tolist()) for x in ids]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        encoder.rest()
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
