@@ -259,7 +259,7 @@ def mine_hard_negatives(
     some = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     some = some.where(F.col("id").isNotNull() & F.col("label").isNotNull() & is_vector(x))
     some = written(some.select("id", "label", F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("q"), "anchor"), "vectors")
-    anchors = some.where("anchor").withColumn("hash", F.xxhash64("q")).select("id", "label", "q", "hash")
+    anchors = some.where("anchor").withColumn("hash", F.xxhash64("q")).select("id", "label", "q", "hash").distinct()
     schema = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
     if anchors.isEmpty():
         return some.sparkSession.createDataFrame([], schema)

@@ -250,7 +250,7 @@ def nearest_neighbours(
     v = F.col("v")
     some = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("query"))
     some = written(some.where(F.col("id").isNotNull() & is_vector(v) & F.exists(v, lambda x: x != 0)), "vectors")
-    queries = some.where("query").select(F.col("id").alias("query_id"), "v")
+    queries = some.where("query").select(F.col("id").alias("query_id"), "v").distinct()
     if queries.isEmpty():
         return some.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     one_length(some, "v")
