@@ -106,3 +106,18 @@ def test_radius_page_by_class(spark):
     every = spark.createDataFrame([(1000 + i, c) for i in range(6) for c in "xw"], "item int, c string")
     more = radius_page(df.limit(0), req, [F.col("item")], "item", 1, 4, 9000.0, extra=every, by=["c"]).collect()
     assert {(x.req, x.item) for x in more} == {(j, 1000 + i) for j, _, _, c in places if c in "xw" for i in range(4)}
+
+
+def test_chats_of_a_few_readers_equal_their_part_of_all(spark):
+    from courtside.operators.chat import chat_list, unread_chats
+
+    chats = spark.createDataFrame([(1, 1, 2, "a"), (2, 2, 1, "a"), (3, 1, 3, "b"), (4, 3, 1, "b"), (5, 2, 3, "c"), (6, 3, 2, "c")], "chat_id int, user_id int, friend_user_id int, room_id string")
+    chats = chats.selectExpr("*", "'all' as notification_status", "1 as new_messages")
+    messages = spark.createDataFrame([(i, 1 + i % 6, f"2024-01-01 00:{i:02d}:00", f"m{i}") for i in range(20)], "message_id int, chat_id int, time string, content string")
+    users = spark.createDataFrame([(u, "n") for u in (1, 2, 3)], "user_id int, first_name string").selectExpr("*", "'l' as last_name", "'p' as profile_picture", "'i' as img", "'s' as socket_id")
+    unseen = spark.createDataFrame([(i, 1 + i % 3) for i in range(20)], "message_id int, user_id int")
+    for op in (lambda req: unread_chats(unseen, messages, chats, users, req), lambda req: chat_list(chats, messages, users, req)):
+        everyone = op(None)
+        some = op(2)
+        assert sorted(map(str, some.collect())) == sorted(str(r) for r in everyone.select(some.columns).collect() if r["user_id"] == 2)
+        assert some.count() > 0
