@@ -13,7 +13,7 @@ import codecs
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,7 @@ from pyspark.sql import types as T
 from courtside.llm.blocks import text_blocks
 
 SPACE = "▁"
-CACHED = 300_000  # stretches in each of the two generations that a worker remembers
-KEPT = 100_000  # of them, what it keeps from one task to the next
+CACHED = 350_000  # stretches in each of the two generations that a worker remembers
 SHORT = 32  # symbols of a stretch whose agenda is a matrix row
 NEVER = np.int32(1 << 30)
 NUMBER = np.int32  # of a piece
@@ -276,8 +275,8 @@ class Encoder:
                 raise ValueError(f"{new[i]!r} gives {own[i]}, the library gives {ids}")
 
     def rest(self) -> None:
-        """Gives back most of the memory between tasks."""
-        self.older, self.known = {}, dict(islice(self.known.items(), KEPT))
+        """Gives back the older memory between tasks."""
+        self.older = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = list(map(self.vocabulary.stretches, texts))
