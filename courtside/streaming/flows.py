@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from courtside.functions.common import salted_join
-from courtside.operators.applies import make_notifications
+from courtside.functions.common import RUN_ROWS, salted_join
+from courtside.operators.applies import fan_out_posts, make_notifications
 from courtside.sources.sinks import write_batch
 
 
@@ -155,8 +155,6 @@ def notification_stream(actions: DataFrame, owners: DataFrame, actors: DataFrame
     return make_notifications(actions.join(target, "object_id"), actors)
 
 
-def feed_stream(posts: DataFrame, follows: DataFrame, salts: int = 16) -> DataFrame:
+def feed_stream(posts: DataFrame, follows: DataFrame, run: int = RUN_ROWS) -> DataFrame:
     """One unseen row per arriving post and follower who wants all posts."""
-    wants = follows.filter(F.col("notification_status") == "all").select("follower_user_id", F.col("followed_user_id").alias("author_id")).distinct()
-    new = posts.select("post_id", F.col("user_id").alias("author_id"))
-    return salted_join(wants, new, "author_id", ["follower_user_id"], salts).select(F.col("follower_user_id").alias("user_id"), "post_id")
+    return fan_out_posts(posts, follows, run)
