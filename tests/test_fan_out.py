@@ -3,10 +3,12 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from courtside.functions.common import join_in_runs
 from courtside.operators import applies as a
+from courtside.operators import social as s
 from courtside.streaming import flows
 
 
@@ -43,3 +45,61 @@ def test_join_in_runs(spark):
     df = join_in_runs(spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int"), "k", "b", run=3)
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted((tuple(x) for x in df.select("k", "a", "b").collect()), key=key) == sorted(((k, i, b) for k, i in left for j, b in right if k == j and k is not None), key=key)
+
+
+def feed_tables(spark, n=90):
+    r = random.Random(11)
+    at = lambda: None if r.random() < 0.1 else f"2024-01-{1 + r.randrange(9):02d} 00:00:00"
+    posts = [(i, r.choice([0, 1, 2, 77]), at(), f"t{i}") for i in range(n)]
+    posts += posts[:5] + [(7, 1, at(), "again")]
+    readers = [(u, p) for u in range(12) for p in range(n + 5) if r.random() < (0.9 if u < 6 else 0.04)]
+    readers += readers[:40] + [(None, p) for p in range(0, n, 3)] + [(3, None)]
+    df = spark.createDataFrame([(p, u, t, c) for p, u, t, c in posts], "post_id INT, user_id INT, t STRING, content STRING")
+    df = df.select("post_id", "user_id", F.col("t").cast("timestamp_ntz").alias("time"), "content")
+    users = spark.createDataFrame([(i, "f", "l", None, "i") for i in range(3)], "user_id INT, first_name STRING, last_name STRING, profile_picture STRING, img STRING")
+    empty = spark.createDataFrame([], "user_id INT, post_id INT, comment_id INT, post_img_id INT, img STRING")
+    return spark.createDataFrame(readers, "user_id INT, post_id INT"), readers, posts, (df, users, empty, empty, empty)
+
+
+@pytest.mark.parametrize("page", [1, 2])
+def test_feed_in_blocks(spark, monkeypatch, page):
+    monkeypatch.setattr(s, "FIRST_BLOCK", 8, raising=False)
+    monkeypatch.setattr(s, "BLOCK_STEP", 3, raising=False)
+    unseen, readers, posts, args = feed_tables(spark)
+    heads = args[0].join(args[1].select("user_id"), "user_id", "left_semi").select("post_id", "time")
+    got = s._newest(unseen, heads, page * 6)
+    order = lambda p, t: (t is not None, t or "", p)
+    want = {}
+    for u in {u for u, _ in readers}:
+        mine = {p for v, p in readers if v == u}
+        want[u] = sorted((order(p, t) for p, w, t, _ in posts if p in mine and w < 3), reverse=True)[: page * 6]
+    found = {}
+    for x in got.collect():
+        found.setdefault(x.user_id, []).append(order(x.post_id, None if x.time is None else str(x.time)))
+    assert {u: sorted(v, reverse=True)[: page * 6] for u, v in found.items()} == {u: v for u, v in want.items() if v}
+    feed = s.community_feed(unseen, *args, page=page, limit=6)
+    assert {x.user_id for x in feed.select("user_id").distinct().collect()} == {u for u, v in want.items() if len(v) > 6 * (page - 1)}
+
+
+def test_a_feed_meets_the_newest_posts_only(spark):
+    posts, follows = bulk(spark, 3000, 50)
+    heads = posts.select("post_id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_interval(0, 0, 0, 0, 0, 0, post_id)")).alias("time"))
+    made = a.fan_out_posts(posts, follows)
+    found = s._newest(made, heads, 10)
+    assert found.count() == 10 * follows.select("follower_user_id").distinct().count()
+    plan = made.join(heads.limit(5).select("post_id"), "post_id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    # the semi join lies below the join that makes the rows
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
+
+
+def test_consume_feed_shuffles_rows_of_shown_posts_only(spark):
+    rows = [(u, p) for u in range(8) for p in range(30)] + [(None, 3), (2, None), (1, 3), (1, 3)]
+    shown = [(1, 3), (1, 4), (2, 4), (9, 9), (2, None), (None, 3)]
+    unseen, delivered = spark.createDataFrame(rows, "user_id INT, post_id INT"), spark.createDataFrame(shown + shown, "user_id INT, post_id INT")
+    key = lambda x: tuple((v is None, v) for v in x)
+    got = a.consume_feed(unseen, delivered, delivered_only=True)
+    assert sorted(map(tuple, got.select("user_id", "post_id").collect()), key=key) == sorted((x for x in rows if None in x or x not in shown), key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 2 and plan.count("LeftSemi") == 1
+    whole = a.consume_feed(unseen, delivered)
+    assert {x.user_id for x in whole.collect()} == {None, 0, 3, 4, 5, 6, 7}
