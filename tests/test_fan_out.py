@@ -103,3 +103,27 @@ def test_consume_feed_shuffles_rows_of_shown_posts_only(spark):
     assert plan.count("LeftAnti") == 2 and plan.count("LeftSemi") == 1
     whole = a.consume_feed(unseen, delivered)
     assert {x.user_id for x in whole.collect()} == {None, 0, 3, 4, 5, 6, 7}
+
+
+def test_facilities_of_many_requests_take_little_space(spark, tmp_path):
+    from courtside.operators.discovery import filter_facilities_each
+
+    places = spark.range(200).selectExpr("id AS facility_id", "10D AS hourly_rate", "concat('n', id) AS name", "40D AS latitude", "-74D AS longitude")
+    hours = spark.range(200).selectExpr("id AS facility_id", "'monday' AS week_day", "1 AS available")
+    amenities = spark.range(200).selectExpr("id AS facility_id", "'Parking' AS name")
+    reviews, images = spark.createDataFrame([(1, 4.0)], "facility_id BIGINT, rating DOUBLE"), spark.createDataFrame([(1, "i")], "facility_id BIGINT, img STRING")
+    req = spark.range(20_000).selectExpr("xxhash64(id) AS request_id", "array('Parking') AS want_amenities", "CAST(NULL AS ARRAY<STRING>) AS want_days")
+    req = req.unionByName(req.limit(1).withColumn("request_id", F.lit(None).cast("bigint")))
+    filter_facilities_each(places, reviews, images, amenities, hours, req).write.parquet(str(tmp_path / "o"))
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert got.count() == got.distinct().count() == 200 * 20_001 and got.where("request_id IS NULL").count() == 200
+    assert size(tmp_path / "o") < 200 * 20_001 * 3
+
+
+def test_items_that_lack_a_bit_of_a_set_are_dropped_where_they_are_found(spark):
+    from courtside.operators.search import containing_all
+
+    items = spark.range(400).selectExpr("id AS i", "explode(array(0L, 1 + id % 40)) AS e")
+    out = containing_all(items, "i", "e", spark.createDataFrame([([0, 3],), ([0, 3, 4],), ([0],)], "w array<bigint>"), "w")
+    assert sorted((len(x.w), x.i) for x in out.collect()) == sorted([(1, i) for i in range(400)] + [(2, i) for i in range(400) if i % 40 == 2])
+    assert "_bits" in out._jdf.queryExecution().optimizedPlan().toString()
