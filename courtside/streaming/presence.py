@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,59 +44,84 @@ def transitions(events: DataFrame) -> DataFrame:
 
 
 SOCKET = "socket_id STRING, user_id BIGINT, opened_us BIGINT, opened_id BIGINT, lost_us BIGINT"
-OPENED = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "ts_us", "event_id")])
-LOST = T.StructType([T.StructField("ts_us", T.LongType())])
+LOTS = 1024  # lots that sockets are dealt into by a hash: few enough for a call to be worth its round trips, and a lot to stay small
+LOT = T.StructType([T.StructField("sockets", T.BinaryType())])
+HELD = ["socket_id", "user_id", "opened_us", "opened_id", "lost_us", "until_ms"]
+NEVER = np.iinfo("int64").min
+
+
+def _pack(held: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(held[HELD], preserve_index=False).replace_schema_metadata()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
 
 
 class Sockets(StatefulProcessor):
-    """Who opened a socket, and when it was lost; both may arrive in any order and more than once. A timer forgets a socket
-    when the watermark has passed its last event."""
+    """Who opened each socket of a lot, and when it was lost; both may arrive in any order and more than once. A socket is forgotten
+    when the watermark has passed its last event; the lot's timer is set for the first of them.
+
+    A lot is one value of the state, so a micro-batch costs a few round trips for each lot, not for each socket.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", OPENED)
-        self.lost = handle.getValueState("lost", LOST)
+        self.lot = handle.getValueState("lot", LOT)
+
+    def _put(self, held: pd.DataFrame) -> None:
+        self.lot.update((_pack(held),))
+        self.handle.registerTimer(int(held["until_ms"].min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opened = tuple(self.opened.get()) if self.opened.exists() else None
-        lost = self.lost.get()[0] if self.lost.exists() else None
-        for chunk in rows:
-            for ts, event_id, user, is_loss in zip(chunk["ts_us"], chunk["event_id"], chunk["user_id"], chunk["is_loss"], strict=True):
-                if is_loss:
-                    lost = int(ts) if lost is None else max(lost, int(ts))
-                elif opened is None or (int(ts), int(event_id)) > opened[1:]:
-                    opened = (int(user), int(ts), int(event_id))
-        if opened is not None:
-            self.opened.update(opened)
-        if lost is not None:
-            self.lost.update((lost,))
+        new = pd.concat(list(rows), ignore_index=True)
+        at, lost = new["ts_us"].to_numpy("int64"), new["is_loss"].to_numpy(bool)
+        opened = [np.where(lost, NEVER, new[c].to_numpy("int64")) for c in ("user_id", "ts_us", "event_id")]
+        new = pd.DataFrame(dict(zip(HELD, [new["socket_id"], *opened, np.where(lost, at, NEVER), NEVER], strict=True)))
+        both = pd.concat([_unpack(bytes(self.lot.get()[0])), new], ignore_index=True) if self.lot.exists() else new
+        # the newest opening, the first that came of equal ones, and the latest loss
+        order = np.lexsort((-np.arange(len(both)), both["opened_id"], both["opened_us"]))
+        held = both.iloc[order].drop_duplicates("socket_id", keep="last")
+        held = held.assign(lost_us=held["socket_id"].map(both.groupby("socket_id")["lost_us"].max()))
+        changed = held["socket_id"].isin(new["socket_id"])
+        until = np.maximum(held[["opened_us", "lost_us"]].max(axis=1) // 1000, timerValues.getCurrentWatermarkInMs()) + 1
+        held = held.assign(until_ms=held["until_ms"].where(~changed, until))
         for (timer,) in [(t[0] if isinstance(t, tuple) else t,) for t in self.handle.listTimers()]:
             self.handle.deleteTimer(timer)
-        newest = max([t for t in (opened and opened[1], lost) if t is not None])
-        self.handle.registerTimer(max(newest // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-        if opened is not None:
-            gone = pd.array([lost if lost is not None and lost >= opened[1] else None], dtype="Int64")
-            yield pd.DataFrame({"socket_id": [key[0]], "user_id": [opened[0]], "opened_us": [opened[1]], "opened_id": [opened[2]], "lost_us": gone})
+        self._put(held)
+        out = held[changed & (held["opened_us"] > NEVER)]
+        yield out.assign(lost_us=out["lost_us"].astype("Int64").where(out["lost_us"] >= out["opened_us"])).drop(columns="until_ms")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.opened.clear()
-        self.lost.clear()
-        yield pd.DataFrame({"socket_id": pd.Series(dtype=object), **{c: pd.Series(dtype="Int64") for c in ("user_id", "opened_us", "opened_id", "lost_us")}})
+        held = _unpack(bytes(self.lot.get()[0]))
+        held = held[held["until_ms"] > max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)]
+        if len(held):
+            self._put(held)
+        else:
+            self.lot.clear()
+        yield held[:0].drop(columns="until_ms")
 
     def close(self) -> None:
         pass
 
 
-def connections(events: DataFrame, keep: str = "2 days") -> DataFrame:
+def connections(events: DataFrame, keep: str = "2 days", lots: int = LOTS) -> DataFrame:
     """Changed sockets per micro-batch (update mode; needs the RocksDB state store).
 
     A connection is opened by ``connect_user`` and lost by a ``disconnect`` that names its socket only. A socket is kept until all
-    events have moved on by ``keep``, and events that are later than that are dropped, so the state holds recent sockets only.
+    events have moved on by ``keep``, and events that are later than that are dropped, so the state holds recent sockets only. An event
+    without a time comes neither before nor after another and is left out. Sockets are dealt into ``lots`` by a hash, whose number is fixed for a
+    stream's life.
     """
-    used = events.filter("socket_id IS NOT NULL").filter((F.col("event") == "connect_user") & F.col("user_id").isNotNull() | (F.col("event") == "disconnect"))
-    rows = used.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", keep)
-    rows = rows.select("socket_id", "at", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), (F.col("event") == "disconnect").alias("is_loss"))
-    return rows.groupBy("socket_id").transformWithStateInPandas(Sockets(), SOCKET, "Update", "EventTime")
+    used = events.filter("socket_id IS NOT NULL AND ts IS NOT NULL")
+    used = used.filter((F.col("event") == "connect_user") & F.col("user_id").isNotNull() & F.col("event_id").isNotNull() | (F.col("event") == "disconnect"))
+    rows = used.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", keep).withColumn("lot", F.pmod(F.xxhash64("socket_id"), F.lit(lots)))
+    rows = rows.select("lot", "socket_id", "at", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("event_id", "user_id")], (F.col("event") == "disconnect").alias("is_loss"))
+    return rows.groupBy("lot").transformWithStateInPandas(Sockets(), SOCKET, "Update", "EventTime")
 
 
 def presence_by_socket(changes: DataFrame, sockets: DataFrame) -> DataFrame:
