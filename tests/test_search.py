@@ -121,3 +121,21 @@ def test_chats_of_a_few_readers_equal_their_part_of_all(spark):
         some = op(2)
         assert sorted(map(str, some.collect())) == sorted(str(r) for r in everyone.select(some.columns).collect() if r["user_id"] == 2)
         assert some.count() > 0
+
+
+def test_every_user_asks_for_facilities(spark, tmp_path):
+    from courtside.plans import catalog
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("customer", [(i, f"Customer#{i}") for i in range(1, 25)], "c_custkey BIGINT, c_name STRING")
+    put("supplier", [(3, "Supplier#3")], "s_suppkey BIGINT, s_name STRING")
+    put("nation", [(1, "FRANCE")], "n_nationkey INT, n_name STRING")
+    put("part", [(i, f"part {i}", "kind", 7, 90.0 + i) for i in range(20)], "p_partkey BIGINT, p_name STRING, p_type STRING, p_size INT, p_retailprice DOUBLE")
+    put("orders", [(1, 5)], "o_orderkey BIGINT, o_custkey BIGINT")
+    line = spark.createDataFrame([(1, 4, 2.0, "O")], "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_linestatus STRING").withColumn("l_shipdate", F.lit("1998-01-01").cast("timestamp_ntz"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["r06_filter_facilities_batch"](spark, str(tmp_path)).select("request_id", "facility_id").collect()
+    days = ["saturday", "sunday", "monday", "tuesday", "wednesday", "thursday", "friday"]
+    has = {p: {n for i, n in enumerate(["Parking", "Showers", "Lockers", "Cafe"]) if p * (i + 1) % 3 != 1} | {n for d, n in enumerate(days) if (p + d) % 4} for p in range(20)}
+    wants = lambda u: {0: {"Parking", "Cafe"}, 1: {"Lockers"}, 2: {"Pool"}, 3: set()}[u % 4] | {0: {"monday", "friday"}, 1: {"sunday"}, 2: set()}[u % 3]
+    assert sorted(map(tuple, got)) == sorted((u, p) for u in [*range(1, 25), 1_000_003, 2_000_001] for p in range(20) if wants(u) <= has[p])
