@@ -127,3 +127,18 @@ def test_items_that_lack_a_bit_of_a_set_are_dropped_where_they_are_found(spark):
     out = containing_all(items, "i", "e", spark.createDataFrame([([0, 3],), ([0, 3, 4],), ([0],)], "w array<bigint>"), "w")
     assert sorted((len(x.w), x.i) for x in out.collect()) == sorted([(1, i) for i in range(400)] + [(2, i) for i in range(400) if i % 40 == 2])
     assert "_bits" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facility_cards_are_rounded_before_rows_are_made_of_them(spark):
+    from courtside.operators.discovery import filter_facilities_each
+    from courtside.plans import catalog
+
+    places = spark.range(3).selectExpr("id AS facility_id", "10D AS hourly_rate", "concat('n', id) AS name", "40D AS latitude", "-74D AS longitude")
+    hours = spark.range(3).selectExpr("id AS facility_id", "'monday' AS week_day", "1 AS available")
+    reviews, images = spark.createDataFrame([(1, 4.0), (1, 4.0), (1, 5.0)], "facility_id BIGINT, rating DOUBLE"), spark.createDataFrame([(1, "i")], "facility_id BIGINT, img STRING")
+    req = spark.createDataFrame([(7, None, ["monday"]), (None, None, ["monday"]), (7, None, ["monday"]), (8, ["Cafe"], None)], "request_id BIGINT, want_amenities ARRAY<STRING>, want_days ARRAY<STRING>")
+    got = filter_facilities_each(places, reviews, images, spark.createDataFrame([], "facility_id BIGINT, name STRING"), hours, req, digits=2)
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted((tuple(x) for x in got.select("request_id", "facility_id", "avg_rating").collect()), key=key) == sorted([(r, f, 4.33 if f == 1 else 0.0) for r in (7, 7, None) for f in range(3)], key=key)
+    plan = catalog.QUERIES["r06_filter_facilities_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_asked") < plan.index("round(")
