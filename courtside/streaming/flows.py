@@ -155,6 +155,6 @@ def notification_stream(actions: DataFrame, owners: DataFrame, actors: DataFrame
     return make_notifications(actions.join(target, "object_id"), actors)
 
 
-def feed_stream(posts: DataFrame, follows: DataFrame, run: int = RUN_ROWS) -> DataFrame:
-    """One unseen row per arriving post and follower who wants all posts."""
-    return fan_out_posts(posts, follows, run)
+def feed_stream(posts: DataFrame, follows: DataFrame, run: int = RUN_ROWS, packed: bool = False) -> DataFrame:
+    """One unseen row per arriving post and follower who wants all posts; ``packed``: see :func:`fan_out_posts`, for logs that are written and read."""
+    return fan_out_posts(posts, follows, run, packed)

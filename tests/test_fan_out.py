@@ -142,3 +142,31 @@ def test_facility_cards_are_rounded_before_rows_are_made_of_them(spark):
     assert sorted((tuple(x) for x in got.select("request_id", "facility_id", "avg_rating").collect()), key=key) == sorted([(r, f, 4.33 if f == 1 else 0.0) for r in (7, 7, None) for f in range(3)], key=key)
     plan = catalog.QUERIES["r06_filter_facilities_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_asked") < plan.index("round(")
+
+
+def test_the_log_of_the_feed_stream_has_a_row_for_a_run(spark, tmp_path, monkeypatch):
+    from courtside.plans import catalog, stream_plans
+
+    events = [(e, u, f'{{"k": {k}}}') for e, (u, k) in enumerate((u, k) for u in [*range(20, 120), None] for k in (3, 4, 19))]
+    df = spark.createDataFrame([(e, u, "signup", p) for e, u, p in events], "event_id BIGINT, user_id BIGINT, event_type STRING, props STRING")
+    df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    docs = [*range(60), 3, 3, None]
+    spark.createDataFrame([(d, "t") for d in docs], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    logs, drain = [], stream_plans._drain
+    monkeypatch.setattr(stream_plans, "_drain", lambda *x: logs.append(drain(*x)) or logs[-1])
+    got = catalog.QUERIES["e06_feed_stream"](spark, str(tmp_path)).select("user_id", "post_id").collect()
+    first = {}
+    for e, u, p in events:
+        if u is not None:  # nobody's id differs from an author's
+            first.setdefault((u, int(p[6:-1]) % 15), e)
+    assert sorted(map(tuple, got)) == sorted((u, d) for (u, w), e in first.items() if e % 4 for d in docs if d is not None and d % 15 == w)
+    assert logs[0].count() == 2 * 4 + 2 < len(got) / 50  # posts of authors 3 and 4, each met by one run of followers
+
+
+def test_packed_runs_hold_all_rows(spark):
+    posts = spark.createDataFrame([(i, i % 3) for i in range(12)] + [(0, 0), (99, None)], "post_id INT, user_id INT")
+    follows = spark.createDataFrame([(u, w, "all") for u in [*range(50), None] for w in (0, 1, 5)] + [(7, 2, "mute"), (8, 0, "all")], "follower_user_id INT, followed_user_id INT, notification_status STRING")
+    key = lambda x: tuple((v is None, v) for v in x)
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "post_id").collect()), key=key)
+    packed = a.fan_out_posts(posts, follows, run=7, packed=True)
+    assert rows(a.unpacked(packed)) == rows(a.fan_out_posts(posts, follows, run=7)) and {len(x.user_ids) for x in packed.collect()} <= set(range(1, 8))
