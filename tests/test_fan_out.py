@@ -170,3 +170,23 @@ def test_packed_runs_hold_all_rows(spark):
     rows = lambda df: sorted(map(tuple, df.select("user_id", "post_id").collect()), key=key)
     packed = a.fan_out_posts(posts, follows, run=7, packed=True)
     assert rows(a.unpacked(packed)) == rows(a.fan_out_posts(posts, follows, run=7)) and {len(x.user_ids) for x in packed.collect()} <= set(range(1, 8))
+
+
+def test_queues_are_made_of_staged_runs(spark, tmp_path):
+    from courtside.sources.fixtures import Marketplace
+
+    events = [(e, u, f'{{"k": {k}}}') for e, (u, k) in enumerate((u, k) for u in [*range(20, 320), None, None] for k in (3, 4, 19, 3))]
+    df = spark.createDataFrame([(e, u, "signup", p) for e, u, p in events], "event_id BIGINT, user_id BIGINT, event_type STRING, props STRING")
+    df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    docs = [*range(60), 3, 3, None]
+    spark.createDataFrame([(d, "t") for d in docs], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    m = Marketplace(spark, str(tmp_path))
+    got = m.user_unseen_posts
+    first = {}
+    for e, u, p in events:
+        if u is not None:
+            first.setdefault((u, int(p[6:-1]) % 15), e)
+    assert sorted(map(tuple, got.collect())) == sorted((u, d) for (u, w), e in first.items() if e % 4 for d in docs if d is not None and d % 15 == w)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    # a merge join also where runs are few enough to be broadcast, as only it lays the rows of a run together
+    assert "event_type" not in text and "SortMergeJoin [_no" in text
