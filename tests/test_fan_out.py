@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,16 @@ def test_packed_runs_hold_all_rows(spark):
     assert rows(a.unpacked(packed)) == rows(a.fan_out_posts(posts, follows, run=7)) and {len(x.user_ids) for x in packed.collect()} <= set(range(1, 8))
 
 
+def test_rows_of_a_block_are_shuffled_by_reader_only(spark, monkeypatch):
+    unseen, _, _, args = feed_tables(spark)
+    plans, put = [], s.written
+    monkeypatch.setattr(s, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or put(df, name))
+    found = s._newest(unseen.unionByName(unseen), args[0].select("post_id", "time"), 5)
+    assert found.groupBy("user_id").count().where("count > 5").count() == 0
+    text = dict(plans)["feed-found"]
+    assert "WindowGroupLimit" in text and len(re.findall(r"hashpartitioning\([^)]*user_id#", text)) == 1
+
+
 def test_queues_are_made_of_staged_runs(spark, tmp_path):
     from courtside.sources.fixtures import Marketplace
 
